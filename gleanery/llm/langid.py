@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from gleanery.llm.common import held_out, map_batches, ship, text_of
 
-BITS, DIM, PER_LANGUAGE, EPOCHS, RATE, SEED = 14, 16, 1000, 6, 20.0, 42
+BITS, DIM, PER_LANGUAGE, EPOCHS, STEPS, RATE, SEED = 14, 16, 1000, 6, 600, 20.0, 42
 CHUNK = 1 << 20
 _LETTER = re.compile(r"[^\W\d_]")
 _SPACED = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
@@ -99,6 +99,7 @@ def fit(languages: list[str], labels: np.ndarray, features: list[tuple[np.ndarra
         return rows, weights, hidden, z
 
     steps, size = 0, 32
+    epochs = max(epochs, -(-STEPS // -(-len(keep) // size)))  # few texts are gone over more often
     total = epochs * -(-len(keep) // size)
     for _ in range(epochs):
         for at in range(0, len(keep), size):
