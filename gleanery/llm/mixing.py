@@ -105,7 +105,7 @@ class Plan:
         want = targets(sizes, [weights[i % len(weights)] for i in range(len(order))], share, most)
         words = max(1, sum(sizes))
         table = [(r["_gl_source"], i, s, t, max(1, math.ceil(blocks * s / words))) for i, (r, s, t) in enumerate(zip(order, sizes, want, strict=True))]
-        self.sources = spark.createDataFrame(table, "_gl_of string, _gl_k int, source_size long, target double, _gl_blocks int")
+        self.sources = spark.createDataFrame(table, "_gl_of string, _gl_k int, _gl_size long, _gl_target double, _gl_blocks int")
 
         placed = self.place(self.measured)
         by_block: dict[int, dict[int, int]] = {}  # blocks + SOURCES entries at most
@@ -171,7 +171,7 @@ class Plan:
 def mix_digest(docs: DataFrame) -> DataFrame:
     """A row per document: its size, its source's size and target, and the words that the mixture takes of it."""
     plan = Plan(docs)
-    return plan.draw(plan.place(plan.measured)).select("doc_id", "size", "source_size", "target", (F.size("_gl_draws") * F.col("size")).cast("bigint").alias("taken"))
+    return plan.draw(plan.place(plan.measured)).select("doc_id", "size", F.col("_gl_size").alias("source_size"), F.col("_gl_target").alias("target"), (F.size("_gl_draws") * F.col("size")).cast("bigint").alias("taken"))
 
 
 def mix(docs: DataFrame, ordered: bool = False, **options) -> DataFrame:
