@@ -9,6 +9,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH_BYTES = 8 << 20
 _SHIPPED: dict[str, str] = {}
 
 
@@ -19,6 +20,7 @@ def ship(spark: SparkSession) -> None:
     wherever it runs; Spark's own file server hands out the archive.
     """
     sc = spark.sparkContext
+    bound_batches(spark)
     if sc.applicationId in _SHIPPED:
         return
     root = Path(__file__).resolve().parent
@@ -30,6 +32,13 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED[sc.applicationId] = out
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Bound an Arrow batch to BATCH_BYTES where the session has Spark's default of 64 MB: JVM and worker hold each several times over."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if str(spark.conf.get(key)).lower().rstrip("b") == str(64 << 20):
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder of the session.
 
