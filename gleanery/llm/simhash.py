@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from gleanery.llm.common import cut, map_batches, text_of
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
+#: Keys of rows to drop that are broadcast at most (about 60 bytes each); they are counted first, and beyond that both sides are shuffled.
+BROADCAST = 1_000_000
 
 
 def simhash(text: bytes, shingle: int = SHINGLE) -> int:
@@ -134,8 +136,8 @@ def near_duplicates_digest(docs: DataFrame) -> DataFrame:
 def keep_representatives(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """``docs`` with one row of each component: the one of the smallest doc_id (of several texts with that id, the one of the least hash).
 
-    What goes is looked up by (doc_id, hash of the text); Spark broadcasts those keys only if they turn
-    out to be small. Rows repeated with the same id and text are folded on their own, so only they are grouped.
+    What goes is looked up by (doc_id, hash of the text). Up to BROADCAST such keys, which are counted first, are
+    broadcast, and no text is shuffled; beyond, rows and keys are. Rows repeated with the same id and text are folded on their own, so only they are grouped.
     """
     rows = cut(fingerprints(docs, shingle))
     named = _named(rows, radius)
@@ -145,6 +147,8 @@ def keep_representatives(docs: DataFrame, shingle: int = SHINGLE, radius: int =
 
     def by(kind: str, which: DataFrame) -> DataFrame:
         which = which.select(F.col("doc_id").alias("_gl_id2"), F.col("th").alias("_gl_th2"))
+        if which.count() <= BROADCAST:
+            which = F.broadcast(which)
         return held.join(which, F.col("_gl_id").eqNullSafe(F.col("_gl_id2")) & (F.col("_gl_th") == F.col("_gl_th2")), kind)
 
     again = keys.where("stays and count > 1")
