@@ -22,7 +22,7 @@ import re
 import numpy as np
 
 #: Most pieces that a worker keeps; about 120 bytes each. A full cache is emptied, results don't depend on it.
-CACHE = 400_000
+CACHE = 64_000
 #: Outside of this set a piece is left to the library. \x1c-\x1f, \x85 and \xa0 are spaces to some engines only; U+0130 grows in lower case.
 _PLAIN = re.compile("[^\x00-\x1b\x20-\x84\x86-\x9f\xa1-įı-ɏ]")
 

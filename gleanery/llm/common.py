@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from gleanery.session import cut, ship
 
-__all__ = ["cut", "held_out", "map_batches", "read", "ship", "text_of"]
+__all__ = ["cut", "held_out", "map_batches", "read", "release", "ship", "text_of"]
 
 #: Rows that an Arrow batch is cut to, so that a batch of very long texts stays small.
 ROWS = 256
@@ -30,6 +31,15 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
+def release() -> None:
+    """Give memory that a finished task has freed back to the system: an idle worker is kept, and would keep that too."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     """Apply ``f`` to slices of at most ROWS rows: narrow, no shuffle, memory bounded by a slice."""
     ship(df.sparkSession)
@@ -38,5 +48,6 @@ def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], sc
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 yield f(batch.slice(at, ROWS))
+        release()
 
     return df.mapInArrow(run, schema)

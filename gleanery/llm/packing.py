@@ -24,9 +24,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.llm import bpe
-from gleanery.llm.common import ship, text_of
+from gleanery.llm.common import release, ship, text_of
 
-LENGTH, OPEN_BINS, END, ROWS = 2048, 512, 0, 2048
+LENGTH, OPEN_BINS, END, ROWS = 2048, 512, 0, 512
 SCHEMA = "doc_id bigint, piece int, start bigint, length bigint, ids binary, sequence_id bigint, offset bigint"
 
 
@@ -114,6 +114,7 @@ def pack_documents(docs: DataFrame, encode: Callable[[], Callable[[str], bytes]]
             rows.clear()
             return made
 
+        batch = None
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids = to_ids(text.as_py()) + end
@@ -129,6 +130,8 @@ def pack_documents(docs: DataFrame, encode: Callable[[], Callable[[str], bytes]]
                 yield out()
         if rows:
             yield out()
+        del bins, batch
+        release()
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text")).mapInArrow(run, SCHEMA)
 
