@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import held_out, map_batches, ship, text_of
+from gleanery.llm.common import held_out, map_batches, release, ship, text_of
 
 BITS, DIM, PER_LANGUAGE, EPOCHS, STEPS, RATE, SEED = 14, 16, 1000, 6, 600, 20.0, 42
 CHUNK = 1 << 20
@@ -129,8 +129,9 @@ def fit(languages: list[str], labels: np.ndarray, features: list[tuple[np.ndarra
     y = np.exp((z - z.max(axis=1, keepdims=True)) * t)
     top = (y / y.sum(axis=1, keepdims=True)).max(axis=1)
     right = z.argmax(axis=1) == labels[test]
-    # Reject what scores below nearly every text that is read rightly, but never a text of an even chance or better.
-    below = min(0.5, float(np.quantile(top[right], 0.001))) if right.any() else 0.0
+    # Reject what scores below nearly every text that is read rightly, but nothing above the middle of pure chance and an even
+    # chance: texts of two or three languages are kept.
+    below = min((1 / c + 0.5) / 2, float(np.quantile(top[right], 0.001))) if right.any() else 0.0
     return Model(languages, (emb @ out * t).astype(np.float32), bias * t, below)
 
 
@@ -182,5 +183,6 @@ def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
                 batch = whole.slice(low, 256)
                 keep = [lang != "und" and s >= model.reject_below for lang, s in (model.score(t or "") for t in batch.column(at).to_pylist())]
                 yield batch.filter(pa.array(keep, pa.bool_()))
+        release()
 
     return docs.mapInArrow(run, docs.schema)
