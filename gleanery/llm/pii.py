@@ -231,3 +231,44 @@ def sanitise(docs: DataFrame, **options) -> DataFrame:
         return written(rows, none)
     clean, private = rows.where(F.size("_gl_base") == 0), rows.where(F.size("_gl_base") > 0)
     return clean.select(*docs.columns).union(written(_joined(private, extra), F.coalesce("_gl_extra", none)))
+
+
+def find_sql() -> str:
+    """The same result in DuckDB's SQL, from the patterns as they are stated, and with windows for what is summed here."""
+    names = "['email', 'ip', 'card', 'phone', 'remove', 'generalise']"
+    kinds = (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", r"[0-9](?:[\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")
+
+    def cuts(text: str, pattern: str) -> str:
+        return f"unnest(regexp_split_to_array({text}, '{pattern}')) AS g, unnest(list_append(regexp_extract_all({text}, '{pattern}'), NULL)) AS m, unnest(range(len(regexp_extract_all({text}, '{pattern}')) + 1)) AS i"
+
+    found = " UNION ALL ".join(f"SELECT r, {k} AS k, {cuts('text', p)} FROM d" for k, p in enumerate(kinds))
+    digits = "regexp_replace(m, '[^0-9]', '', 'g')"
+    luhn = f"list_sum(list_transform(range(length({digits})), lambda j: CASE WHEN (length({digits}) - j) % 2 = 1 THEN CAST({digits}[j + 1] AS INTEGER) WHEN CAST({digits}[j + 1] AS INTEGER) > 4 THEN CAST({digits}[j + 1] AS INTEGER) * 2 - 9 ELSE CAST({digits}[j + 1] AS INTEGER) * 2 END)) % 10 = 0"
+    valid = f"""CASE k WHEN 0 THEN true WHEN 1 THEN len(list_filter(string_split(m, '.'), lambda x: length(ltrim(x, '0')) > 3 OR coalesce(TRY_CAST(ltrim(x, '0') AS INTEGER), 0) > 255)) = 0
+      WHEN 2 THEN length({digits}) BETWEEN 14 AND 19 AND {luhn} ELSE length({digits}) BETWEEN 10 AND 15 END"""
+    said = f"coalesce(string_agg({names}[k + 1] || ':' || s || ':' || e, ',' ORDER BY s, k, e), '')"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+c AS ({found}),
+p AS (SELECT r, k, m, CAST(sum(length(g) + coalesce(length(m), 0)) OVER (PARTITION BY r, k ORDER BY i) AS BIGINT) AS e FROM c),
+b0 AS (SELECT r, k, m, e - length(m) AS s, e FROM p WHERE m IS NOT NULL),
+b AS (SELECT r, k, m, s, e, coalesce(max(e) OVER (w ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING), 0) AS before, lead(s) OVER w AS after FROM b0 WHERE {valid} WINDOW w AS (PARTITION BY r ORDER BY s, k)),
+x0 AS (SELECT b.*, text, least(greatest(before, s - {CONTEXT}), s) AS low, greatest(least(coalesce(after, length(text)), e + {CONTEXT}), e) AS high FROM b JOIN d USING (r)),
+x AS (SELECT r, k || ':' || lower(regexp_replace(m, '[ ().-]', '', 'g')) AS entity, substr(text, low + 1, s - low) AS l, low, substr(text, e + 1, high - e) AS t, e FROM x0),
+y AS (SELECT r, entity, l, t, low AS a0, 0 AS side, {cuts('l', chr(92) + 'p{L}{3,}')} FROM x UNION ALL SELECT r, entity, l, t, e, 1, {cuts('t', chr(92) + 'p{L}{3,}')} FROM x),
+z0 AS (SELECT *, a0 + sum(length(g) + coalesce(length(m), 0)) OVER (PARTITION BY r, entity, l, t, a0, side ORDER BY i) AS e FROM y),
+z AS (SELECT r, entity, l, t, lower(m) AS term, CAST(e - length(m) AS BIGINT) AS s, CAST(e AS BIGINT) AS e FROM z0 WHERE m IS NOT NULL
+  AND NOT (side = 0 AND length(l) = {CONTEXT} AND e - length(m) = a0) AND NOT (side = 1 AND length(t) = {CONTEXT} AND e = a0 + length(t))),
+pair AS (SELECT entity, term, count(DISTINCT r) AS n_ct FROM z GROUP BY ALL HAVING count(DISTINCT (l, t)) >= {SUPPORT}),
+ent AS (SELECT entity, count(DISTINCT r) AS n_c FROM x GROUP BY entity),
+words AS (SELECT DISTINCT r, unnest(regexp_extract_all(lower(text), '\\p{{L}}{{3,}}')) AS term FROM d),
+freq AS (SELECT term, count(*) AS n_t FROM words SEMI JOIN pair USING (term) GROUP BY term),
+n AS (SELECT count(*) AS n FROM d),
+over AS (SELECT entity, term, CASE WHEN ratio >= {REMOVE} THEN 4 ELSE 5 END AS k FROM (
+  SELECT entity, term, log2(n_ct * CAST(n AS DOUBLE) / (CAST(n_c AS DOUBLE) * n_t)) / log2(CAST(n AS DOUBLE) / n_c) AS ratio FROM pair JOIN ent USING (entity) JOIN freq USING (term), n WHERE n_c < n) WHERE ratio >= {GENERALISE}),
+extra AS (SELECT r, s, e, min(k) AS k FROM z JOIN over USING (entity, term) GROUP BY ALL),
+base AS (SELECT r, count(*) FILTER (k = 0) AS n_email, count(*) FILTER (k = 1) AS n_ip, count(*) FILTER (k = 2) AS n_card, count(*) FILTER (k = 3) AS n_phone, {said} AS said FROM b GROUP BY r),
+allof AS (SELECT r, {said} AS spans FROM (SELECT r, k, s, e FROM b UNION ALL SELECT r, k, s, e FROM extra) GROUP BY r)
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(said, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN base USING (r) LEFT JOIN allof USING (r)
+"""

@@ -55,4 +55,4 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_chat_formatting, op2_pii, op3_best_fit_packing, op4_source_mixing, op5_quality_classifier, op6_simhash, op7_nearest_neighbours, op8_language_id, op9_token_counts, op10_media_columns)}
-SQL: dict[str, str] = {"op1_chat_formatting": chat.FORMAT_SQL}
+SQL: dict[str, str] = {"op1_chat_formatting": chat.FORMAT_SQL, "op2_pii": pii.find_sql()}
