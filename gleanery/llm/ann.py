@@ -6,9 +6,9 @@ visits its own bucket and those with neighbouring cells, in falling order of est
 of squared distances to the boundaries crossed. Every row is indexed; the hash functions need no
 fitting. Candidates of all tables are ranked by the exact cosine, in double precision, of the vectors as given.
 
-Index rows and probes meet by bucket, grouped into cells of work. A cell holds part of a bucket's rows (by
-hash of vec_id), as many parts as keep the largest bucket's part near ``part_rows``, and probes are
-sent to every part: a bucket with a third of all rows is split, no cell grows with the data, and within a
+Index rows and probes meet by bucket, grouped into cells of work. A bucket of more than ``part_rows`` rows is
+split by hash of vec_id into parts of about that size, and its probes (only its own) are sent to every
+part: a bucket with a third of all rows is split, no cell grows with the data, and within a
 cell queries meet rows in blocks, each keeping its k best. A query that found fewer than k meets all
 rows, in the same blocks, so results are short only where there are too few candidates.
 
@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import ship
+from gleanery.llm.common import cut, ship
 
 TABLES, HASHES, WIDTH, PROBES, K, SEED, PART_ROWS, EVERY = 8, 8, 2.3, 56, 5, 42, 20_000, 50
 
@@ -153,11 +153,13 @@ def search(rows: DataFrame, queries: DataFrame, k: int = K, tables: int = TABLES
 
     index = x.mapInPandas(indexed, "t int, bucket bigint, vec_id bigint, v array<double>")
     asked = q.mapInPandas(asking, "t int, bucket bigint, query_id bigint, v array<double>")
-    largest = index.groupBy("t", "bucket").count().agg(F.max("count")).first()[0] or 0
-    parts = max(1, -(-largest // part_rows))
-    part = F.pmod(F.xxhash64(F.lit(seed), "vec_id"), F.lit(parts)) if parts > 1 else F.lit(0).cast("bigint")
-    every = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<bigint>"))
+    # Only buckets over part_rows are split: at most n / part_rows of them in a table of hashes.
+    hot = cut(index.groupBy("t", "bucket").count().where(F.col("count") > part_rows).select("t", "bucket", F.ceil(F.col("count") / part_rows).cast("bigint").alias("parts")))
+    parts = F.coalesce("parts", F.lit(1).cast("bigint"))
+    part = F.pmod(F.xxhash64(F.lit(seed), "vec_id"), parts)
+    every = F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1))
     cell = lambda p: F.concat_ws(":", "t", p, F.pmod(F.xxhash64("bucket"), F.lit(spread)))
+    index, asked = index.join(hot, ["t", "bucket"], "left"), asked.join(hot, ["t", "bucket"], "left")
     found = _meet(index.withColumn("p", part).select(cell(F.col("p")).alias("cell"), "bucket", "vec_id", "v"), asked.withColumn("p", every).select(cell(F.col("p")).alias("cell"), "bucket", "query_id", "v"), k)
 
     def best(f: DataFrame) -> DataFrame:
@@ -165,8 +167,6 @@ def search(rows: DataFrame, queries: DataFrame, k: int = K, tables: int = TABLES
         f = f.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).cast("int"))
         return f.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
-    from gleanery.llm.common import cut
-
     top = cut(best(found))
     full = top.groupBy("query_id").count().where(F.col("count") >= k)
     short = q.join(full, q.vec_id == full.query_id, "left_anti").select(F.col("vec_id").alias("query_id"), "v")
