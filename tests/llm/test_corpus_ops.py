@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
@@ -28,13 +29,22 @@ def brute_spans(t):
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in sorted(out))
 
 
+def by_sql(df):
+    db = duckdb.connect()
+    db.register("documents", df.select("doc_id", "text").toPandas().astype({"doc_id": "Int64"}))
+    frame = db.execute(pii.find_sql()).df()
+    return sorted(map(repr, frame[["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"]].astype({"doc_id": "float64"}).fillna(-1).itertuples(index=False, name=None)))
+
+
 def test_base_spans_are_brute_force(spark):
     rnd = random.Random(5)
     parts = ["a@b.c", "x.y_z@m-n.org", "1.2.3.4", "256.1.1.1", "1.2.3.4.5.6.7.8", "0001.2.3.000255", "4111 1111 1111 1111", "4111-1111-1111-1111", "4111  1111", "41111111111111110", "+1 (555) 555-2485", "+1 2", "++49.30.1234567", "é日🙂", " ", "-", "@", ".", "_", "7", "\n", "12345678901234567890123", "q@r", "a@b.c_d@e.f.g"]
     texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 12))) for _ in range(1500)]
     texts += [None, "1 " * 9000, "a" * 60000, "7" * 60000, "1.1.1.1 " * 300, "-" * 20000 + "@" * 20000, "a@b." * 3000]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    for r in pii.find_digest(df).collect():
+    mine = pii.find_digest(df).toPandas()
+    assert by_sql(df) == sorted(map(repr, mine.astype({"doc_id": "float64"}).itertuples(index=False, name=None)))
+    for r in mine.to_dict("records"):
         want = brute_spans(texts[r["doc_id"]] or "")
         assert r["base_sha256"] == hashlib.sha256(want.encode()).hexdigest(), texts[r["doc_id"]]
         assert [r[f"n_{k}"] for k in KINDS] == [sum(x.startswith(k) for x in want.split(",")) for k in KINDS]
@@ -61,6 +71,7 @@ def test_disclosing_terms(spark):
     assert "boss@corp" not in out[0]["text"] and "[EMAIL]" in out[0]["text"] and "zebrafish" not in out[0]["text"]
     assert out[101]["text"] == rows[9][1] and out[500]["text"] is None and out[None]["text"] == "mail [EMAIL] now"
     assert pii.sanitise(df).columns == df.columns and pii.sanitise(df).count() == len(rows)
+    assert by_sql(df) == sorted(map(repr, pii.find_digest(df).toPandas().fillna(-1).itertuples(index=False, name=None)))
     many = pii.BROADCAST
     try:
         pii.BROADCAST = -1  # all words are counted and joined: the same
@@ -146,6 +157,12 @@ def test_simhash_is_brute_force(spark):
     key = lambda x: tuple("" if v is None or v != v else str(int(v)) if not isinstance(v, str) else v for v in x)
     assert sorted(map(key, got.values.tolist())) == sorted(key((i, f"{f:016x}", c)) for (i, _, _), f, c in zip(rows, fps, want, strict=True))
     kept = simhash.keep_representatives(df).toPandas()
+    most = simhash.BROADCAST
+    try:
+        simhash.BROADCAST = -1  # both sides are shuffled: the same
+        assert sorted(map(repr, simhash.keep_representatives(df).toPandas().fillna(-1).values.tolist())) == sorted(map(repr, kept.fillna(-1).values.tolist()))
+    finally:
+        simhash.BROADCAST = most
     assert len(kept) == len(set(zip(want, [None if c is not None else f for c, f in zip(want, fps, strict=True)], strict=True)))
     assert sorted(int(x) for x in kept.doc_id.dropna()) == sorted({c for c in want if c is not None}) and list(kept.columns) == df.columns
     assert simhash.near_duplicates(df.where("false")).count() == 0 and simhash.keep_representatives(df.where("false")).count() == 0
