@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from gleanery.llm.common import cut, ship
 
 TABLES, HASHES, WIDTH, PROBES, K, SEED, PART_ROWS, EVERY = 8, 8, 2.3, 56, 5, 42, 20_000, 50
+#: Large buckets whose list is broadcast at most (some 40 bytes each); beyond, rows meet them in a shuffle.
+BROADCAST = 1_000_000
 
 
 def valid(rows: DataFrame) -> DataFrame:
@@ -159,7 +161,10 @@ def search(rows: DataFrame, queries: DataFrame, k: int = K, tables: int = TABLES
     part = F.pmod(F.xxhash64(F.lit(seed), "vec_id"), parts)
     every = F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1))
     cell = lambda p: F.concat_ws(":", "t", p, F.pmod(F.xxhash64("bucket"), F.lit(spread)))
-    index, asked = index.join(hot, ["t", "bucket"], "left"), asked.join(hot, ["t", "bucket"], "left")
+    large = hot.count()
+    if large <= BROADCAST:
+        hot = F.broadcast(hot)
+    index, asked = (x.join(hot, ["t", "bucket"], "left") if large else x.withColumn("parts", F.lit(1).cast("bigint")) for x in (index, asked))
     found = _meet(index.withColumn("p", part).select(cell(F.col("p")).alias("cell"), "bucket", "vec_id", "v"), asked.withColumn("p", every).select(cell(F.col("p")).alias("cell"), "bucket", "query_id", "v"), k)
 
     def best(f: DataFrame) -> DataFrame:
