@@ -44,7 +44,10 @@ def stem(word: Column) -> Column:
     w = F.regexp_replace(w, r"(?<!e)ed$|(?<=ee)d$|ing$", "")
     w = F.regexp_replace(w, r"er$", "")
     w = F.regexp_replace(w, r"(?<=.)([^lsz])\1$", "$1")
-    return F.when(F.length(word) <= 2, word).otherwise(w)
+    # No rule fits another last letter, and most words end before a pattern is tried.
+    last = F.substring(word, -1, 1)
+    some = last.isin("s", "d", "g", "r") | (last == F.substring(word, -2, 1))
+    return F.when((F.length(word) <= 2) | ~some, word).otherwise(w)
 
 
 def analyse(token: Column) -> Column:
