@@ -331,11 +331,11 @@ def pagerank(spark, sf_dir):
 
 @query
 def link_graph(spark, sf_dir):
-    """Canonical links of all pages, with the page that each leads to, if it is one."""
+    """Canonical links of all pages, with the page that each leads to; -1 if it is none."""
     pages = read(spark, sf_dir, "pages")
     links = P.page_links(pages)
     own = pages.select(F.col("page_id").alias("dst"), T.normalize_url(F.col("url")).alias("url"))
-    return links.join(own, "url", "left").where("dst IS NULL OR src <> dst").groupBy("src", "url", "dst").agg(F.count("*").alias("n"))
+    return links.join(own, "url", "left").where("dst IS NULL OR src <> dst").groupBy("src", "url", F.coalesce("dst", F.lit(-1)).alias("dst")).agg(F.count("*").alias("n"))
 
 
 @query

@@ -196,7 +196,7 @@ SQL: dict[str, str] = {
               UNION ALL SELECT r.i, e.dst, r.pr * e.m / o.d, 0.0 FROM r JOIN e ON e.src = r.node JOIN o ON o.src = r.node) GROUP BY node), n WHERE i < 40)
         SELECT node, round(pr, 9) AS pagerank FROM r WHERE i = 40""",
     "link_graph": f"""WITH {HREFS}, l AS ({normal('li', 'src')}), p AS ({normal('pages', 'page_id AS dst')})
-        SELECT src, l.url, dst, count(*) AS n FROM l LEFT JOIN p ON l.url = p.url WHERE l.url IS NOT NULL AND (dst IS NULL OR src <> dst) GROUP BY ALL""",
+        SELECT src, l.url, coalesce(p.dst, -1) AS dst, count(*) AS n FROM l LEFT JOIN p ON l.url = p.url WHERE l.url IS NOT NULL AND (p.dst IS NULL OR src <> p.dst) GROUP BY ALL""",
     "frontier_discover": f"""WITH {HREFS}, l AS ({normal('(SELECT li.url, page_id % 5 + 1 AS depth FROM li JOIN pages ON page_id = src WHERE page_id % 5 + 1 <= 4)', 'depth')}), p AS ({normal('pages', 'page_id')})
         SELECT url, CAST(min(depth) AS INTEGER) AS depth FROM l WHERE url IS NOT NULL AND url NOT IN (SELECT url FROM p WHERE url IS NOT NULL) GROUP BY url""",
     "url_normalize": normal("(SELECT page_id, url FROM pages UNION ALL SELECT page_id, 'HTTPS://User.' || regexp_replace(url, '^https?://', '') || '//x//?utm_source=a&b=' || page_id % 7 || '&a=1&FBCLID=z#part' FROM pages)", "page_id"),

@@ -7,6 +7,7 @@ from collections import Counter
 from pathlib import Path
 
 import duckdb
+import pandas as pd
 import pytest
 
 from gleanery.plans import catalog, live, oracle
@@ -25,7 +26,7 @@ def db():
 
 def cells(frame):
     frame = frame[sorted(frame.columns)]
-    one = lambda x: None if x is None or x != x or str(x) == "<NA>" else round(float(x), 5) + 0.0 if not isinstance(x, str) else x
+    one = lambda x: None if pd.isna(x) else round(float(x), 5) + 0.0 if not isinstance(x, str) else x
     return Counter(tuple(map(one, r)) for r in frame.itertuples(index=False, name=None))
 
 
