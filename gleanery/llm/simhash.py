@@ -36,24 +36,31 @@ SHINGLE, RADIUS, SEED = 3, 2, 42
 BROADCAST = 1_000_000
 
 
-def simhash(text: bytes, shingle: int = SHINGLE) -> int:
-    """Fingerprint of the shingles of a UTF-8 text, A-Z in lower case, words cut at ASCII white space."""
+def shingle_hashes(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
+    """A hash for each shingle of a UTF-8 text, A-Z in lower case, words cut at ASCII white space."""
     words = text.lower().split()
-    if not words:
-        return 0
     of, n = xxhash.xxh64_intdigest, len(words)
-    if n <= shingle:
-        return of(b" ".join(words), SEED)
     joined = b" ".join(words)
+    if n <= shingle:
+        return np.array([of(joined, SEED)], dtype=">u8")
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
-    hashes = np.array([of(joined[s:e], SEED) for s, e in zip(starts[: n - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)], dtype=">u8")
+    return np.array([of(joined[s:e], SEED) for s, e in zip(starts[: n - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)], dtype=">u8")
+
+
+def fingerprint(hashes: np.ndarray) -> int:
+    """The bits that more than half of the hashes have."""
     over = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 8192):
         over += np.unpackbits(hashes[at : at + 8192].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(over * 2 > len(hashes)).tobytes(), "big")
 
 
+def simhash(text: bytes, shingle: int = SHINGLE) -> int:
+    """Fingerprint of the shingles of a text; zero if it has no words."""
+    return fingerprint(shingle_hashes(text, shingle)) if text.strip() else 0
+
+
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, th (hash of the text) and fp (the fingerprint as a signed long) for every text of ``docs`` (doc_id, text)."""
 
@@ -143,16 +150,22 @@ def keep_representatives(docs: DataFrame, shingle: int = SHINGLE, radius: int =
     named = _named(rows, radius)
     keep = named.join(named.groupBy("root").agg(F.min("first").alias("keep")), "root").select("fp", F.col("keep.doc_id").alias("keep_id"), F.col("keep.th").alias("keep_th"))
     keys = cut(rows.groupBy("doc_id", "th", "fp").count().join(keep, "fp").select("doc_id", "th", "count", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("th") == F.col("keep_th"))).alias("stays")))
+    return keep_rows(docs, keys)
+
+
+def rows_of(docs: DataFrame, which: DataFrame, kind: str) -> DataFrame:
+    """``docs`` joined with the keys ``which`` (doc_id, th), which are broadcast if they are few."""
+    which = which.select(F.col("doc_id").alias("_gl_id2"), F.col("th").alias("_gl_th2"))
+    if which.count() <= BROADCAST:
+        which = F.broadcast(which)
     held = docs.withColumns({"_gl_id": F.col("doc_id").cast("bigint"), "_gl_th": F.xxhash64(text_of())})
+    return held.join(which, F.col("_gl_id").eqNullSafe(F.col("_gl_id2")) & (F.col("_gl_th") == F.col("_gl_th2")), kind)
 
-    def by(kind: str, which: DataFrame) -> DataFrame:
-        which = which.select(F.col("doc_id").alias("_gl_id2"), F.col("th").alias("_gl_th2"))
-        if which.count() <= BROADCAST:
-            which = F.broadcast(which)
-        return held.join(which, F.col("_gl_id").eqNullSafe(F.col("_gl_id2")) & (F.col("_gl_th") == F.col("_gl_th2")), kind)
 
+def keep_rows(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each of ``keys`` (doc_id, th, count, stays) that stays."""
     again = keys.where("stays and count > 1")
-    kept = by("left_anti", keys.where("not stays or count > 1"))
+    kept = rows_of(docs, keys.where("not stays or count > 1"), "left_anti")
     if not again.isEmpty():
-        kept = kept.union(by("left_semi", again).dropDuplicates(["_gl_id", "_gl_th"]))
+        kept = kept.union(rows_of(docs, again, "left_semi").dropDuplicates(["_gl_id", "_gl_th"]))
     return kept.drop("_gl_id", "_gl_th")
