@@ -89,11 +89,15 @@ def _nearest(qid: np.ndarray, q: np.ndarray, vid: np.ndarray, x: np.ndarray, k:
     """The k best rows for each query, by block; a first ranking by matrix product, then exact with a margin for ties."""
     out: list[tuple[int, int, float]] = []
     unit, at_once = _unit(x), max(1, 2_000_000 // max(1, len(x)))
+    # Rows of one vec_id are folded before the cut, which is by each id's best row.
+    by_id = np.argsort(vid, kind="stable")
+    firsts = np.flatnonzero(np.append(True, vid[by_id][1:] != vid[by_id][:-1]))
     for a in range(0, len(q), at_once):
         near = _unit(q[a : a + at_once]) @ unit.T
         for i, row in enumerate(near):
             row[vid == qid[a + i]] = -9
-            floor = np.partition(row, len(row) - k)[len(row) - k] if len(row) > k else -8.0
+            best = row if len(firsts) == len(row) else np.maximum.reduceat(row[by_id], firsts)
+            floor = np.partition(best, len(best) - k)[len(best) - k] if len(best) > k else -8.0
             at = np.flatnonzero(row >= max(floor, -8.0) - 1e-9)
             s = score(q[a + i], x[at])
             order = np.lexsort((vid[at], -s))
