@@ -31,8 +31,13 @@ def folder(spark: SparkSession) -> str:
 
 
 def _stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A table as a stream: a directory of part files as it is, a single file (which a stream can't name) by its folder and name."""
     at = f"{sf_dir}/{table}.parquet"
-    return spark.readStream.schema(spark.read.parquet(at).schema).option("pathGlobFilter", f"{table}.parquet").parquet(sf_dir)
+    stream = spark.readStream.schema(spark.read.parquet(at).schema)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
+        return stream.parquet(at)
+    return stream.option("pathGlobFilter", f"{table}.parquet").parquet(sf_dir)
 
 
 @query
