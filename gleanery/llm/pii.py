@@ -2,22 +2,27 @@
 
 Base spans come from four patterns, each leftmost and without overlaps, with start and end in code points.
 They are found by cutting the text at the pattern: the lengths of what lies between and of the matches add up to
-the offsets. The patterns are written so that Java's engine takes linear time and no deep stack on any text.
-
-Protected entities are the values found, by kind. C-sanitisation: a term t discloses an entity c as far as
-their pointwise mutual information, log2(p(c, t) / (p(c) p(t))), reaches the information content of c,
--log2 p(c). Probabilities are shares of all documents: n(c) and n(c, t) from the words around each
-occurrence (CONTEXT code points to either side, at most up to the next base span), n(t) from the whole
-texts of all documents. Terms that occur with c in at least ``SUPPORT`` different contexts (copies of one context count once) and
-reach REMOVE of its information content are removed, those that reach GENERALISE become a general word.
-Only occurrences next to that entity are touched: a document without personal data stays as it is.
-
-Scale: the texts are read for the base spans and once more to count the candidate terms; what is shuffled is a
-row for each word near a base span, combined on the map side first, and one count per term. Hot entities are only ever keys of counts.
-The candidate terms are broadcast if they are few (BROADCAST at most, counted first); beyond that
-all words are counted and joined, with the same result.
-
-Cases: a null text is empty and has no spans; rows repeated get the same spans each; a null doc_id is
+the offsets, by prefix sums in log n steps over arrays, so the work is linear but for that. The patterns are possessive: Java's
+engine takes linear time and no deep stack on any text.
+
+Protected entities are the values found (an address in lower case, a number without separators) and, above them, the
+kinds themselves. C-sanitisation: a term t tells of an entity c their pointwise mutual information, log2(p(c, t) / (p(c) p(t))) of the
+-log2 p(c) bits that there are to tell. Probabilities are shares of all documents, counted over whole texts: a term is a
+word of three letters or more, in lower case, outside of addresses (other spans hold no letters). Three conditions make a term disclosing:
+
+* p(c | t), estimated as n(c, t) / (n(t) + 1) against the bias of rare terms, is REMOVE or more (the term is removed; 0.6 bits
+  are left to tell) or GENERALISE or more (it becomes a general word; 0.8 bits). A term of one document never gets there.
+* By that estimate it tells at least SHARE of what there is to tell; where most documents hold c, no term does.
+* It stands with c between two different pairs of neighbouring words at least, so that copies of one passage aren't evidence.
+
+Every occurrence of a disclosing term is sanitised, wherever it stands: a text that names it without the entity discloses most.
+
+Scale: entities in one document only can have no disclosing term and go first. What is shuffled is a row for each
+(entity, term), combined on the map side, and one for each candidate term; entities and terms are 64-bit hashes there.
+Hot entities and terms are only ever keys of sums. Candidate and disclosing terms and the keys of documents that hold them are
+broadcast if they are few (BROADCAST at most, counted first); beyond that both sides are shuffled, with the same result.
+
+Cases: a null text is empty and has no spans; rows repeated count as documents and get the same spans each; a null doc_id is
 kept; extra columns are ignored by ``find`` and kept by ``sanitise``; an empty table gives no rows.
 """
 
@@ -26,13 +31,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.session import cut
+from gleanery.llm.common import cut
 
 KINDS = ("email", "ip", "card", "phone", "remove", "generalise")
-CONTEXT, SUPPORT, REMOVE, GENERALISE, BROADCAST = 64, 5, 0.95, 0.8, 200_000
+REMOVE, GENERALISE, SHARE, BROADCAST = 0.66, 0.59, 0.8, 200_000
 _SPAN = "struct<s:int,k:int,e:int,m:string>"
+_PLAIN = "array<struct<s:int,k:int,e:int>>"
 #: A match may begin where the one before ended (\G) or where no part of it can precede.
-EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9\x20-]{14,}"  # once every separator that isn't between two digits is masked, runs are chains
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
@@ -68,19 +74,38 @@ def _valid_phone(m: Column) -> Column:
     return F.length(F.translate(m, "+ ().-", "")).between(10, 15)
 
 
-def _spans(text: Column, pattern: str, kind: int, valid) -> Column:
-    """Valid matches of a pattern as an array of spans."""
-    zipped = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), 0).alias("m"))
+def _let(value: Column, of) -> Column:
+    """``of`` a value that is computed once, however often the expression names it: in a lambda it would be anew for each element."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
+def _running(values: Column, of) -> Column:
+    """Running totals of an array under an associative function, in log n steps, each a pass over the array."""
+
+    def step(acc: Column, d: Column) -> Column:
+        return F.transform(acc, lambda x, i: F.when(i >= d, of(x, F.get(acc, i - d))).otherwise(x))
+
+    def whole(v: Column) -> Column:
+        steps = F.transform(F.sequence(F.lit(0), F.ceil(F.log2(F.size(v))).cast("int")), lambda i: F.pow(F.lit(2), i).cast("int"))
+        return F.when(F.size(v) > 1, F.aggregate(steps, v, step)).otherwise(v)
+
+    return _let(values, whole)
+
+
+def _matches(text: Column, pattern: str) -> Column:
+    """The matches of a pattern in order: (e, m), the end in code points and the match."""
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.coalesce(F.length(x["m"]), F.lit(0))
-        span = F.struct(start.alias("s"), F.lit(kind).alias("k"), end.alias("e"), x["m"].alias("m"))
-        good = F.when(x["m"].isNull(), False).otherwise(valid(x["m"]))
-        return F.struct(end.alias("at"), F.when(good, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+    def placed(found: Column) -> Column:
+        lengths = F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), found, lambda g, m: F.length(g) + F.length(m))
+        return F.zip_with(_running(lengths, lambda a, b: a + b), found, lambda e, m: F.struct(e.alias("e"), m.alias("m")))
 
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPAN}>").alias("out"))
-    return F.aggregate(zipped, zero, step)["out"]
+    return _let(F.regexp_extract_all(text, F.lit(pattern), 0), placed)
+
+
+def _spans(text: Column, pattern: str, kind: int, valid) -> Column:
+    """Valid matches of a pattern as an array of spans."""
+    good = F.filter(_matches(text, pattern), lambda x: valid(x["m"]))
+    return F.transform(good, lambda x: F.struct((x["e"] - F.length(x["m"])).alias("s"), F.lit(kind).alias("k"), x["e"].alias("e"), x["m"].alias("m")))
 
 
 def base_spans(text: Column) -> Column:
@@ -96,34 +121,20 @@ def base_spans(text: Column) -> Column:
     ))
 
 
-def _contexts(text: Column, spans: Column) -> Column:
-    """For every span its entity and the text to either side, up to CONTEXT code points and the next base span: (entity, left, at_left, right, at_right)."""
+def _entities(spans: Column) -> Column:
+    """The distinct entities of base spans, as hashes: each value, and each kind."""
+    value = lambda x: F.xxhash64(x["k"], F.when(x["k"] < 2, F.lower(x["m"])).otherwise(F.regexp_replace(x["m"], r"[\x20().-]", "")))
+    return F.array_distinct(F.concat(F.transform(spans, value), F.transform(spans, lambda x: F.xxhash64(x["k"]))))
 
-    def one(x: Column, i: Column) -> Column:
-        # Spans are in order of start; one that ends later may precede the neighbour.
-        before = F.when(i > 0, F.array_max(F.transform(F.slice(spans, F.greatest(i - 7, F.lit(1)), F.least(i, F.lit(8))), lambda p: p["e"]))).otherwise(0)
-        after = F.coalesce(F.get(spans, i + 1)["s"], F.length(text))
-        low = F.least(F.greatest(before, x["s"] - CONTEXT), x["s"])
-        high = F.greatest(F.least(after, x["e"] + CONTEXT), x["e"])
-        return F.struct(
-            F.concat_ws(":", x["k"], F.lower(F.regexp_replace(x["m"], r"[\x20().-]", "" ))).alias("entity"),
-            F.substr(text, low + 1, x["s"] - low).alias("left"), low.alias("at_left"), F.substr(text, x["e"] + 1, high - x["e"]).alias("right"), x["e"].alias("at_right"),
-        )
 
-    return F.transform(spans, one)
+def _masked(text: Column) -> Column:
+    """The text with every character of an address as a line end, so that other words keep their places."""
+    parts = F.zip_with(F.split(text, EMAIL, -1), F.regexp_extract_all(text, F.lit(EMAIL), 0), lambda g, m: F.concat(g, F.coalesce(F.repeat(F.lit("\n"), F.length(m)), F.lit(""))))
+    return F.when(text.contains("@"), F.array_join(parts, "")).otherwise(text)
 
 
-def _terms(context: Column, at: Column, first_cut: Column, last_cut: Column) -> Column:
-    """The terms of a stretch of text: (t, s, e); a word that the stretch may have cut is left out."""
-    zipped = F.arrays_zip(F.split(context, TERM, -1).alias("gap"), F.regexp_extract_all(context, F.lit(TERM), 0).alias("m"))
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.coalesce(F.length(x["m"]), F.lit(0))
-        good = x["m"].isNotNull() & ~(first_cut & (start == at)) & ~(last_cut & (end == at + F.length(context)))
-        return F.struct(end.alias("at"), F.when(good, F.concat(acc["out"], F.array(F.struct(F.lower(x["m"]).alias("t"), start.alias("s"), end.alias("e"))))).otherwise(acc["out"]).alias("out"))
-
-    return F.aggregate(zipped, F.struct(at.alias("at"), F.array().cast("array<struct<t:string,s:int,e:int>>").alias("out")), step)["out"]
+def _words(masked: Column) -> Column:
+    return F.transform(F.regexp_extract_all(masked, F.lit(TERM), 0), F.lower)
 
 
 def _key() -> list[Column]:
@@ -131,51 +142,66 @@ def _key() -> list[Column]:
     return [F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(_text()).alias("th")]
 
 
+def _few(rows: DataFrame) -> DataFrame:
+    """Rows to be broadcast if a count says that they are few."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST else rows
+
+
 def analyse(docs: DataFrame) -> DataFrame:
-    """doc_id, th, base (spans) and contexts of every row, with the lineage cut; texts aren't kept."""
+    """doc_id, th, base (spans) of every row and, where there are any, entities and the masked text, with the lineage cut."""
     rows = docs.select(*_key(), _text().alias("text")).withColumn("base", base_spans(F.col("text")))
-    return cut(rows.select("doc_id", "th", F.transform("base", lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"))).alias("base"), F.when(F.size("base") > 0, _contexts(F.col("text"), F.col("base"))).otherwise(F.array().cast("array<struct<entity:string,left:string,at_left:int,right:string,at_right:int>>")).alias("contexts")))
-
-
-def disclosing(docs: DataFrame, analysed: DataFrame, support: int = SUPPORT, remove: float = REMOVE, generalise: float = GENERALISE) -> tuple[DataFrame, DataFrame]:
-    """The (entity, term) pairs over the threshold with kind k, and all occurrences of terms next to entities."""
-    near = analysed.select("doc_id", "th", F.explode("contexts").alias("c"))
-    left = _terms(F.col("c.left"), F.col("c.at_left"), F.length("c.left") == CONTEXT, F.lit(False))
-    right = _terms(F.col("c.right"), F.col("c.at_right"), F.lit(False), F.length("c.right") == CONTEXT)
-    context = F.xxhash64("c.left", F.lit("\x00"), "c.right")
-    found = cut(near.select("doc_id", "th", F.col("c.entity").alias("entity"), context.alias("context"), F.explode(F.concat(left, right)).alias("x")).select("doc_id", "th", "entity", "context", "x.t", "x.s", "x.e"))
-
-    pairs = found.groupBy("entity", "t", "context").agg(F.lit(1).alias("_")).groupBy("entity", "t").agg(F.count("*").alias("contexts")).where(F.col("contexts") >= support)
-    # Documents that hold the pair; two steps, so that a hot pair is combined on the map side. Copies of a row count as rows.
-    per_doc = found.groupBy("entity", "t", "doc_id", "th").agg(F.lit(1).alias("_"))
-    times = analysed.where(F.size("contexts") > 0).groupBy("doc_id", "th").agg(F.count("*").alias("rows"), F.first(F.array_distinct(F.transform("contexts", lambda c: c["entity"]))).alias("entities"))
-    per_doc, times = per_doc.alias("a"), times.alias("b")
-    with_times = per_doc.join(times, F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.th") == F.col("b.th"))).select("entity", "t", "rows")
-    n_pair = with_times.groupBy("entity", "t").agg(F.sum("rows").alias("n_ct"))
-    n_entity = times.select(F.explode("entities").alias("entity"), "rows").groupBy("entity").agg(F.sum("rows").alias("n_c"))
-    candidates = cut(pairs.join(n_pair, ["entity", "t"]).join(n_entity, "entity"))
+    plain = F.transform("base", lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e")))
+    private = F.size("base") > 0
+    return cut(rows.select("doc_id", "th", plain.alias("base"), F.when(private, _entities(F.col("base"))).alias("entities"), F.when(private, _masked(F.col("text"))).alias("masked")))
+
+
+def _term_hashes(docs: DataFrame) -> DataFrame:
+    """t, the distinct terms of every document as hashes, beside doc_id and th."""
+    return docs.select(*_key(), F.explode(F.array_distinct(F.transform(_words(_masked(_text())), lambda w: F.xxhash64(w)))).alias("t"))
+
+
+def disclosing(docs: DataFrame, analysed: DataFrame, remove: float = REMOVE, generalise: float = GENERALISE, share: float = SHARE) -> DataFrame:
+    """t (hash) and k (kind) of the terms that disclose an entity, with the lineage cut."""
+    private = analysed.where("entities is not null")
+    n_c = private.select(F.explode("entities").alias("c")).groupBy("c").agg(F.count("*").alias("n_c")).where("n_c > 1")
+    said = private.select("entities", _words(F.col("masked")).alias("ws"))
+    hashed = F.transform("ws", lambda w, i: F.struct(F.xxhash64(w).alias("t"), F.xxhash64(F.coalesce(F.get("ws", i - 1), F.lit("")), F.coalesce(F.get("ws", i + 1), F.lit(""))).alias("at")))
+    # One row for a document's term, and one for every place of it: a pair's count and whether its places differ are one sum.
+    once = F.transform(F.array_distinct(F.transform("ws", lambda w: F.xxhash64(w))), lambda t: F.struct(t.alias("t"), F.lit(None).cast("bigint").alias("at")))
+    rows = said.select("entities", F.explode(F.concat(once, hashed)).alias("x")).select(F.explode("entities").alias("c"), "x.t", "x.at")
+    rows = rows.join(_few(cut(n_c)), "c")
+    pairs = rows.groupBy("c", "t").agg(F.first("n_c").alias("n_c"), F.count_if(F.col("at").isNull()).alias("n_ct"), F.min("at").alias("low"), F.max("at").alias("high"))
+    candidates = cut(pairs.where("n_ct > 1 and low <> high").select("c", "t", "n_c", "n_ct"))
 
     terms = candidates.select("t").distinct()
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(_text()), F.lit(TERM), 0))).alias("t"))
+    words = _term_hashes(docs).select("t")
     if terms.count() <= BROADCAST:
-        n_term = words.join(F.broadcast(terms), "t", "left_semi").groupBy("t").agg(F.count("*").alias("n_t"))
-    else:
-        n_term = words.groupBy("t").agg(F.count("*").alias("n_t"))
-    n = F.lit(max(1, analysed.count())).cast("double")
-    ratio = F.log2(F.col("n_ct") * n / (F.col("n_c") * F.col("n_t"))) / F.log2(n / F.col("n_c"))
-    over = candidates.join(n_term, "t").where("n_c < " + str(max(1, analysed.count()))).withColumn("ratio", ratio).where(F.col("ratio") >= generalise)
-    return over.select("entity", "t", F.when(F.col("ratio") >= remove, KINDS.index("remove")).otherwise(KINDS.index("generalise")).alias("k"), "ratio"), found
+        words = words.join(F.broadcast(terms), "t", "left_semi")
+    n_t = words.groupBy("t").agg(F.count("*").alias("n_t"))
+    n = analysed.count()
+    sure = F.col("n_ct").cast("double") / (F.col("n_t") + 1)
+    # To tell ``share`` of -log2 p(c) is that p(c | t) ** (1 / (1 - share)) isn't below p(c).
+    power = round(1 / (1 - share))
+    told = sure
+    for _ in range(power - 1):
+        told = told * sure
+    over = candidates.join(n_t, "t").where((sure >= generalise) & (told * F.lit(float(n)) >= F.col("n_c")))
+    return cut(over.groupBy("t").agg(F.min(F.when(sure >= remove, KINDS.index("remove")).otherwise(KINDS.index("generalise"))).alias("k")))
 
 
 def extra_spans(docs: DataFrame, analysed: DataFrame, **options) -> DataFrame:
-    """doc_id, th, extra: for every document with disclosing terms their spans (s, k, e), each once, the stronger kind first."""
-    over, found = disclosing(docs, analysed, **options)
-    hit = found.join(over, ["entity", "t"]).groupBy("doc_id", "th", "s", "e").agg(F.min("k").alias("k"))
-    return hit.groupBy("doc_id", "th").agg(F.sort_array(F.collect_list(F.struct("s", "k", "e"))).alias("extra"))
+    """doc_id, th, extra: for every document with disclosing terms their spans (s, k, e), with the lineage cut."""
+    over = _few(disclosing(docs, analysed, **options))
+    holding = cut(_term_hashes(docs).join(over, "t", "left_semi").select("doc_id", "th").distinct())
+    held = docs.select(*_key(), _text().alias("text")).join(_few(holding.toDF("_gl_id2", "_gl_th2")), F.col("doc_id").eqNullSafe(F.col("_gl_id2")) & (F.col("th") == F.col("_gl_th2")), "left_semi")
+    placed = F.transform(_matches(_masked(F.col("text")), TERM), lambda x: F.struct(F.xxhash64(F.lower(x["m"])).alias("t"), (x["e"] - F.length(x["m"])).alias("s"), x["e"].alias("e")))
+    hit = held.select("doc_id", "th", F.explode(placed).alias("x")).select("doc_id", "th", "x.*").join(over, "t")
+    # Rows repeated find the same spans again.
+    return cut(hit.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set(F.struct("s", "k", "e"))).alias("extra")))
 
 
 def _joined(rows: DataFrame, extra: DataFrame) -> DataFrame:
-    extra = extra.select(F.col("doc_id").alias("_gl_id2"), F.col("th").alias("_gl_th2"), F.col("extra").alias("_gl_extra"))
+    extra = _few(extra.select(F.col("doc_id").alias("_gl_id2"), F.col("th").alias("_gl_th2"), F.col("extra").alias("_gl_extra")))
     return rows.join(extra, F.col("_gl_id").eqNullSafe(F.col("_gl_id2")) & (F.col("_gl_th") == F.col("_gl_th2")), "left").drop("_gl_id2", "_gl_th2")
 
 
@@ -183,8 +209,7 @@ def find(docs: DataFrame, **options) -> DataFrame:
     """doc_id, base and spans, arrays of (s, k, e) with k in KINDS, for every row of ``docs`` (doc_id, text)."""
     analysed = analyse(docs)
     rows = _joined(analysed.select("doc_id", F.col("doc_id").alias("_gl_id"), F.col("th").alias("_gl_th"), "base"), extra_spans(docs, analysed, **options))
-    none = F.array().cast("array<struct<s:int,k:int,e:int>>")
-    return rows.select("doc_id", "base", F.sort_array(F.concat("base", F.coalesce("_gl_extra", none))).alias("spans"))
+    return rows.select("doc_id", "base", F.sort_array(F.concat("base", F.coalesce("_gl_extra", F.array().cast(_PLAIN)))).alias("spans"))
 
 
 def _said(spans: Column) -> Column:
@@ -202,35 +227,29 @@ def find_digest(docs: DataFrame) -> DataFrame:
 def replaced(text: Column, spans: Column) -> Column:
     """The text with every span replaced: by its kind in brackets, by [TERM] if generalised, by nothing if removed; what overlaps an earlier span goes with it."""
     marks = F.array(*[F.lit(x) for x in ("[EMAIL]", "[IP]", "[CARD]", "[PHONE]", "", "[TERM]")])
+    reach = _running(F.transform(spans, lambda x: x["e"]), lambda a, b: F.greatest(a, b))
 
-    def step(acc: Column, x: Column) -> Column:
-        first = x["s"] >= acc["at"]
-        kept = F.concat(acc["out"], F.array(F.substr(text, acc["at"] + 1, x["s"] - acc["at"]), F.get(marks, x["k"])))
-        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.when(first, kept).otherwise(acc["out"]).alias("out"))
+    def whole(v: Column) -> Column:
+        # In UTF-32 a stretch of the text is found without counting from its start.
+        stretch = lambda low, high: F.decode(F.substr(v["wide"], low * 4 + 1, (high - low) * 4), "UTF-32")
+        before = lambda i: F.coalesce(F.get(v["reach"], i - 1), F.lit(0))
+        pieces = F.transform(v["spans"], lambda x, i: F.when(x["s"] >= before(i), F.concat(stretch(before(i), x["s"]), F.get(v["marks"], x["k"]))).otherwise(""))
+        return F.concat(F.array_join(pieces, ""), stretch(F.array_max(v["reach"]), v["length"]))
 
-    done = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")), step)
-    return F.concat(F.array_join(done["out"], ""), F.substr(text, done["at"] + 1, F.length(text)))
+    return _let(F.struct(F.encode(text, "UTF-32").alias("wide"), reach.alias("reach"), spans.alias("spans"), marks.alias("marks"), F.length(text).alias("length")), whole)
 
 
 def sanitise(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with personal data and what discloses it replaced in ``text``; other columns, and rows without spans, as they are.
 
-    Base spans are found again in the pass that writes, so only rows with personal data meet the few extra spans.
+    Base spans are found again in the pass that writes, so that only the spans of disclosing terms have to meet the texts.
     """
-    extra = cut(extra_spans(docs, analyse(docs), **options))
+    extra = extra_spans(docs, analyse(docs), **options)
     rows = docs.withColumns({"_gl_id": F.col("doc_id").cast("bigint"), "_gl_th": F.xxhash64(_text()), "_gl_base": base_spans(_text())})
-    none = F.array().cast("array<struct<s:int,k:int,e:int>>")
     base = F.transform("_gl_base", lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e")))
-
-    def written(r: DataFrame, extras: Column) -> DataFrame:
-        r = r.withColumn("_gl_all", F.sort_array(F.concat(base, extras)))
-        done = F.when(F.size("_gl_all") > 0, replaced(_text(), F.col("_gl_all"))).otherwise(F.col("text"))
-        return r.select(*[done.alias("text") if c == "text" else F.col(c) for c in docs.columns])
-
-    if extra.isEmpty():
-        return written(rows, none)
-    clean, private = rows.where(F.size("_gl_base") == 0), rows.where(F.size("_gl_base") > 0)
-    return clean.select(*docs.columns).union(written(_joined(private, extra), F.coalesce("_gl_extra", none)))
+    rows = _joined(rows, extra).withColumn("_gl_all", F.sort_array(F.concat(base, F.coalesce("_gl_extra", F.array().cast(_PLAIN)))))
+    done = F.when(F.size("_gl_all") > 0, replaced(_text(), F.col("_gl_all"))).otherwise(F.col("text"))
+    return rows.select(*[done.alias("text") if c == "text" else F.col(c) for c in docs.columns])
 
 
 def find_sql() -> str:
@@ -247,26 +266,26 @@ def find_sql() -> str:
     valid = f"""CASE k WHEN 0 THEN true WHEN 1 THEN len(list_filter(string_split(m, '.'), lambda x: length(ltrim(x, '0')) > 3 OR coalesce(TRY_CAST(ltrim(x, '0') AS INTEGER), 0) > 255)) = 0
       WHEN 2 THEN length({digits}) BETWEEN 14 AND 19 AND {luhn} ELSE length({digits}) BETWEEN 10 AND 15 END"""
     said = f"coalesce(string_agg({names}[k + 1] || ':' || s || ':' || e, ',' ORDER BY s, k, e), '')"
+    term = "\\p{L}{3,}"
+    mail = kinds[0]
+    told = " * ".join(["sure"] * round(1 / (1 - SHARE)))
     return f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 c AS ({found}),
 p AS (SELECT r, k, m, CAST(sum(length(g) + coalesce(length(m), 0)) OVER (PARTITION BY r, k ORDER BY i) AS BIGINT) AS e FROM c),
-b0 AS (SELECT r, k, m, e - length(m) AS s, e FROM p WHERE m IS NOT NULL),
-b AS (SELECT r, k, m, s, e, coalesce(max(e) OVER (w ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING), 0) AS before, lead(s) OVER w AS after FROM b0 WHERE {valid} WINDOW w AS (PARTITION BY r ORDER BY s, k)),
-x0 AS (SELECT b.*, text, least(greatest(before, s - {CONTEXT}), s) AS low, greatest(least(coalesce(after, length(text)), e + {CONTEXT}), e) AS high FROM b JOIN d USING (r)),
-x AS (SELECT r, k || ':' || lower(regexp_replace(m, '[ ().-]', '', 'g')) AS entity, substr(text, low + 1, s - low) AS l, low, substr(text, e + 1, high - e) AS t, e FROM x0),
-y AS (SELECT r, entity, l, t, low AS a0, 0 AS side, {cuts('l', chr(92) + 'p{L}{3,}')} FROM x UNION ALL SELECT r, entity, l, t, e, 1, {cuts('t', chr(92) + 'p{L}{3,}')} FROM x),
-z0 AS (SELECT *, a0 + sum(length(g) + coalesce(length(m), 0)) OVER (PARTITION BY r, entity, l, t, a0, side ORDER BY i) AS e FROM y),
-z AS (SELECT r, entity, l, t, lower(m) AS term, CAST(e - length(m) AS BIGINT) AS s, CAST(e AS BIGINT) AS e FROM z0 WHERE m IS NOT NULL
-  AND NOT (side = 0 AND length(l) = {CONTEXT} AND e - length(m) = a0) AND NOT (side = 1 AND length(t) = {CONTEXT} AND e = a0 + length(t))),
-pair AS (SELECT entity, term, count(DISTINCT r) AS n_ct FROM z GROUP BY ALL HAVING count(DISTINCT (l, t)) >= {SUPPORT}),
-ent AS (SELECT entity, count(DISTINCT r) AS n_c FROM x GROUP BY entity),
-words AS (SELECT DISTINCT r, unnest(regexp_extract_all(lower(text), '\\p{{L}}{{3,}}')) AS term FROM d),
-freq AS (SELECT term, count(*) AS n_t FROM words SEMI JOIN pair USING (term) GROUP BY term),
-n AS (SELECT count(*) AS n FROM d),
-over AS (SELECT entity, term, CASE WHEN ratio >= {REMOVE} THEN 4 ELSE 5 END AS k FROM (
-  SELECT entity, term, log2(n_ct * CAST(n AS DOUBLE) / (CAST(n_c AS DOUBLE) * n_t)) / log2(CAST(n AS DOUBLE) / n_c) AS ratio FROM pair JOIN ent USING (entity) JOIN freq USING (term), n WHERE n_c < n) WHERE ratio >= {GENERALISE}),
-extra AS (SELECT r, s, e, min(k) AS k FROM z JOIN over USING (entity, term) GROUP BY ALL),
+b AS (SELECT r, k, m, e - length(m) AS s, e FROM p WHERE m IS NOT NULL AND {valid}),
+x AS (SELECT DISTINCT r, unnest([k || ':' || CASE WHEN k < 2 THEN lower(m) ELSE regexp_replace(m, '[ ().-]', '', 'g') END, k || '']) AS entity FROM b),
+ent AS (SELECT entity, count(*) AS n_c FROM x GROUP BY entity),
+masked AS (SELECT r, array_to_string(list_transform(list_zip(regexp_split_to_array(text, '{mail}'), regexp_extract_all(text, '{mail}')), lambda y: y[1] || coalesce(repeat(chr(10), length(y[2])), '')), '') AS text FROM d),
+t0 AS (SELECT r, {cuts('text', term)} FROM masked),
+t1 AS (SELECT r, i, lower(m) AS term, m, sum(length(g) + coalesce(length(m), 0)) OVER (PARTITION BY r ORDER BY i) AS e FROM t0),
+t AS (SELECT r, term, CAST(e - length(m) AS BIGINT) AS s, CAST(e AS BIGINT) AS e, struct_pack(a := lag(term) OVER w, b := lead(term) OVER w) AS beside FROM t1 WHERE m IS NOT NULL WINDOW w AS (PARTITION BY r ORDER BY i)),
+pair AS (SELECT entity, term, count(DISTINCT r) AS n_ct FROM t JOIN x USING (r) GROUP BY ALL HAVING count(DISTINCT beside) > 1),
+freq AS (SELECT term, count(DISTINCT r) AS n_t FROM t GROUP BY term),
+over AS (SELECT term, min(CASE WHEN sure >= {REMOVE} THEN 4 ELSE 5 END) AS k FROM (
+  SELECT term, n_c, CAST(n_ct AS DOUBLE) / (n_t + 1) AS sure FROM pair JOIN ent USING (entity) JOIN freq USING (term))
+  WHERE sure >= {GENERALISE} AND {told} * CAST((SELECT count(*) FROM d) AS DOUBLE) >= n_c GROUP BY term),
+extra AS (SELECT r, k, s, e FROM t JOIN over USING (term)),
 base AS (SELECT r, count(*) FILTER (k = 0) AS n_email, count(*) FILTER (k = 1) AS n_ip, count(*) FILTER (k = 2) AS n_card, count(*) FILTER (k = 3) AS n_phone, {said} AS said FROM b GROUP BY r),
 allof AS (SELECT r, {said} AS spans FROM (SELECT r, k, s, e FROM b UNION ALL SELECT r, k, s, e FROM extra) GROUP BY r)
 SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(said, '')) AS base_sha256, coalesce(spans, '') AS spans
