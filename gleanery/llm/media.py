@@ -10,7 +10,8 @@ of an NPY file; its difference hash has a bit for each pair of neighbours in a r
 
 Cases: a null text is the empty text, whose payload is 576 bytes 255; equal texts give equal values;
 rows repeated stay repeated; a null doc_id stays null; extra columns are ignored; an empty table gives no rows.
-A malformed image raises ValueError in ``decode``; ``decode_media`` gives null there.
+Any bytes that aren't such an image, samples over the stated maximum and pixels beyond the palette among them, raise ValueError
+in ``decode``; ``decode_media`` gives null there, and for null.
 """
 
 from __future__ import annotations
@@ -28,19 +29,24 @@ from pyspark.sql import functions as F
 from gleanery.llm.common import map_batches, text_of
 
 WIDTH, TILE = 576, 32
-_FIELD = re.compile(rb"(?:\s|#[^\n\r]*[\n\r])*([0-9]+)")
+_FIELD = re.compile(rb"(?:\s|#[^\n\r]*[\n\r])+([0-9]{1,10})(?![0-9])")
 
 
 def decode(data: bytes) -> np.ndarray:
-    """An image as uint8 or uint16 samples, height x width (grey) or height x width x 3."""
+    """An image as uint8 or uint16 samples, height x width (grey) or height x width x 3. Any other bytes raise ValueError."""
+    return decode_scaled(data)[0]
+
+
+def decode_scaled(data: bytes) -> tuple[np.ndarray, int]:
+    """The image and the sample that stands for full brightness."""
     if data[:2] == b"BM":
-        return _bmp(data)
+        return _bmp(data), 255
     if len(data) > 2 and data[:1] == b"P" and data[1:2] in b"123456":
         return _netpbm(data)
     raise ValueError("neither Netpbm nor BMP")
 
 
-def _netpbm(data: bytes) -> np.ndarray:
+def _netpbm(data: bytes) -> tuple[np.ndarray, int]:
     kind, at, head = data[1] - 48, 2, []
     for _ in range(2 if kind in (1, 4) else 3):
         m = _FIELD.match(data, at)
@@ -48,30 +54,40 @@ def _netpbm(data: bytes) -> np.ndarray:
             raise ValueError("broken Netpbm header")
         head.append(int(m[1]))
         at = m.end()
-    w, h, top = (head + [1])[:3]
+    w, h, top = head if len(head) == 3 else (*head, 255)
     planes = 3 if kind in (3, 6) else 1
     if not 0 < top < 65536 or w < 1 or h < 1:
         raise ValueError("Netpbm header out of range")
-    n = w * h * planes
+    if kind > 3 and not data[at : at + 1].isspace():
+        raise ValueError("broken Netpbm header")
+    n, kindof = w * h * planes, np.dtype(np.uint16 if top > 255 else np.uint8)
     if kind == 1:  # digits may touch
         bits = np.frombuffer(re.sub(rb"#[^\n\r]*|\s", b"", data[at:])[:n], np.uint8)
-        flat = (1 - (bits - 48)).astype(np.uint8) * 255
+        if ((bits != 48) & (bits != 49)).any():
+            raise ValueError("a sample is no bit")
+        flat = (49 - bits) * np.uint8(255)
     elif kind in (2, 3):
-        flat = np.array(re.sub(rb"#[^\n\r]*", b"", data[at:]).split()[:n], dtype=np.uint16 if top > 255 else np.uint8)
+        said = re.sub(rb"#[^\n\r]*", b"", data[at:]).split()[:n]
+        if not all(x.isdigit() and len(x) < 10 for x in said):
+            raise ValueError("a sample is no number")
+        flat = np.array([int(x) for x in said], dtype=np.int64)
     elif kind == 4:
         row = (w + 7) // 8
-        raw = np.frombuffer(data, np.uint8, -1, at + 1)[: row * h]
+        raw = np.frombuffer(data, np.uint8, offset=at + 1)[: row * h] if len(data) > at + 1 else np.zeros(0, np.uint8)
         if len(raw) < row * h:
             raise ValueError("image is cut short")
-        flat = ((1 - np.unpackbits(raw.reshape(h, row), axis=1)[:, :w]) * 255).astype(np.uint8).ravel()
+        flat = ((1 - np.unpackbits(raw.reshape(h, row), axis=1)[:, :w]) * 255).ravel()
     else:
-        kindof = np.dtype(">u2") if top > 255 else np.dtype(np.uint8)
-        if len(data) - at - 1 < n * kindof.itemsize:
+        stored = kindof.newbyteorder(">")
+        if len(data) - at - 1 < n * stored.itemsize:
             raise ValueError("image is cut short")
-        flat = np.frombuffer(data, kindof, n, at + 1)
+        flat = np.frombuffer(data, stored, n, at + 1)
     if len(flat) < n:
         raise ValueError("image is cut short")
-    return flat.reshape((h, w, 3) if planes == 3 else (h, w))
+    if top not in (255, 65535) or kind in (2, 3):
+        if (flat > top).any():
+            raise ValueError("a sample is over the maximum")
+    return flat.astype(kindof, copy=False).reshape((h, w, 3) if planes == 3 else (h, w)), top
 
 
 def _bmp(data: bytes) -> np.ndarray:
@@ -79,15 +95,18 @@ def _bmp(data: bytes) -> np.ndarray:
         raise ValueError("BMP is cut short")
     u = lambda at, n, signed=False: int.from_bytes(data[at : at + n], "little", signed=signed)
     start, header, w, h, bits, packed = u(10, 4), u(14, 4), u(18, 4, True), u(22, 4, True), u(28, 2), u(30, 4)
-    if packed or bits not in (8, 24, 32) or w < 1 or not h:
+    if header < 40 or packed or bits not in (8, 24, 32) or w < 1 or not h:
         raise ValueError("only uncompressed BMP of 8, 24 or 32 bits")
     row = (w * bits // 8 + 3) // 4 * 4
-    if len(data) < start + row * abs(h):
+    if start < 14 + header or len(data) < start + row * abs(h):
         raise ValueError("BMP is cut short")
     rows = np.frombuffer(data, np.uint8, row * abs(h), start).reshape(abs(h), row)[:, : w * bits // 8]
     rows = rows[::-1] if h > 0 else rows
     if bits == 8:
-        table = np.frombuffer(data, np.uint8, 4 * (u(46, 4) or 256), 14 + header).reshape(-1, 4)[:, 2::-1]
+        colours = u(46, 4) or 256
+        if colours > 256 or 14 + header + 4 * colours > start or int(rows.max()) >= colours:
+            raise ValueError("a pixel is beyond the palette")
+        table = np.frombuffer(data, np.uint8, 4 * colours, 14 + header).reshape(-1, 4)[:, 2::-1]
         return table[rows]
     return rows.reshape(abs(h), w, bits // 8)[:, :, 2::-1]
 
@@ -126,10 +145,10 @@ def difference_hash(image: np.ndarray) -> str:
     return np.packbits(small[:, 1:] > small[:, :-1]).tobytes().hex()
 
 
-def tile(image: np.ndarray, side: int = TILE) -> bytes:
-    """The image resized to a square of uint8, as the bytes of an NPY file."""
+def tile(image: np.ndarray, side: int = TILE, top: int = 255) -> bytes:
+    """The image resized to a square of uint8, ``top`` becoming 255, as the bytes of an NPY file."""
     out = io.BytesIO()
-    np.save(out, np.clip(np.rint(resize(image, side, side)), 0, 255).astype(np.uint8), allow_pickle=False)
+    np.save(out, np.clip(np.rint(resize(image, side, side) * (255 / top)), 0, 255).astype(np.uint8), allow_pickle=False)
     return out.getvalue()
 
 
@@ -150,19 +169,20 @@ def payload_images(docs: DataFrame) -> DataFrame:
 
 
 def decode_media(images: DataFrame, side: int = TILE) -> DataFrame:
-    """For every ``media`` its height, width, samples (bytes in row order), NPY tile and difference hash, beside its other columns."""
-    kept = [c for c in images.columns if c != "media"]
+    """For every ``media`` its height, width, samples (bytes in row order), NPY tile and difference hash, beside its other columns (but those of these names)."""
+    made_names = ["height", "width", "samples", "tile", "dhash"]
+    kept = [c for c in images.columns if c not in ("media", *made_names)]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
         for m in batch.column(batch.num_columns - 1).to_pylist():
             try:
-                image = decode(m)
-                rows.append((image.shape[0], image.shape[1], image.tobytes(), tile(image, side), difference_hash(image)))
-            except (ValueError, TypeError):
+                image, top = decode_scaled(m or b"")
+                rows.append((image.shape[0], image.shape[1], image.tobytes(), tile(image, side, top), difference_hash(image)))
+            except ValueError:
                 rows.append((None,) * 5)
         made = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.string()))]
-        return pa.record_batch([*batch.columns, *made], names=[*kept, "media", "height", "width", "samples", "tile", "dhash"])
+        return pa.record_batch([*batch.columns, *made], names=[*kept, "media", *made_names])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in images.select(*kept, "media").schema)
     return map_batches(images.select(*kept, "media"), run, schema + ", height int, width int, samples binary, tile binary, dhash string")
