@@ -27,8 +27,8 @@ def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mixture takes them."""
-    return mixing.mix(docs).drop("mix_shard", "mix_place")
+    """Documents as often as the mixture takes them, in the order of its shards and of the places in them."""
+    return mixing.mix(docs, ordered=True, labels=False)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

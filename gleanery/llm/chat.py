@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleanery.llm.common import let, running
+
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 LEARNT = "assistant"
 _REST = r"(?:/?s>|/?INST\]|\|(?:turn|text|end)\|>)"
@@ -73,6 +75,18 @@ def mask(formatted: Column) -> Column:
     return F.flatten(F.transform(pieces(formatted), runs))
 
 
+def masked_text(formatted: Column, loss_mask: Column) -> Column:
+    """All that the loss mask covers in a formatted text, in order and unescaped, with nothing between."""
+
+    def whole(v: Column) -> Column:
+        # In UTF-32 a run is found without counting from the text's start.
+        runs = F.zip_with(v["mask"], v["ends"], lambda r, end: F.when(r["loss"], unescape(F.decode(F.substr(v["wide"], ((end - r["chars"]) * 4 + 1).cast("int"), (r["chars"] * 4).cast("int")), "UTF-32"))).otherwise(""))
+        return F.array_join(runs, "")
+
+    ends = running(F.transform(loss_mask, lambda r: r["chars"]), lambda a, b: a + b)
+    return let(F.struct(F.encode(formatted, "UTF-32").alias("wide"), loss_mask.alias("mask"), ends.alias("ends")), whole)
+
+
 def format_conversations(messages: DataFrame) -> DataFrame:
     """conv_id, formatted, turns (read back), loss_mask, escaped and round_trip for every conversation of ``messages`` (conv_id, turn, role, text)."""
     one = messages.select("conv_id", F.struct(F.col("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).alias("m"))
@@ -93,7 +107,7 @@ def with_hostile(spark: SparkSession, conversations: DataFrame) -> DataFrame:
 
 
 def format_digest(messages: DataFrame) -> DataFrame:
-    rows = format_conversations(messages).withColumn("loss", F.concat_ws("", F.transform(F.filter("turns", lambda t: t["role"] == LEARNT), lambda t: t["text"])))
+    rows = format_conversations(messages).withColumn("loss", masked_text(F.col("formatted"), F.col("loss_mask")))
     said = F.concat_ws("", F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))))
     return rows.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),

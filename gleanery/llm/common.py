@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from gleanery.session import cut, ship
 
-__all__ = ["cut", "held_out", "map_batches", "read", "release", "ship", "text_of"]
+__all__ = ["cut", "held_out", "let", "map_batches", "read", "release", "running", "ship", "text_of"]
 
 #: Rows that an Arrow batch is cut to, so that a batch of very long texts stays small.
 ROWS = 256
@@ -31,6 +31,24 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
+def let(value: Column, of) -> Column:
+    """``of`` a value that is computed once, however often the expression names it: in a lambda it would be anew for each element."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
+def running(values: Column, of) -> Column:
+    """Running totals of an array under an associative function, in log n steps, each a pass over the array."""
+
+    def step(acc: Column, d: Column) -> Column:
+        return F.transform(acc, lambda x, i: F.when(i >= d, of(x, F.get(acc, i - d))).otherwise(x))
+
+    def whole(v: Column) -> Column:
+        steps = F.transform(F.sequence(F.lit(0), F.ceil(F.log2(F.size(v))).cast("int")), lambda i: F.pow(F.lit(2), i).cast("int"))
+        return F.when(F.size(v) > 1, F.aggregate(steps, v, step)).otherwise(v)
+
+    return let(values, whole)
+
+
 def release() -> None:
     """Give memory that a finished task has freed back to the system: an idle worker is kept, and would keep that too."""
     pa.default_memory_pool().release_unused()

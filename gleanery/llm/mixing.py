@@ -137,12 +137,18 @@ class Plan:
         cuts = {}
         if edges:
             edge = spark.createDataFrame([(k, b, n) for k, (b, n) in edges.items()], "_gl_k int, _gl_block int, want long")
+            # One block of each source is put in order, in two steps so that no task holds a block: the stretch of
+            # hashes (4,096 of equal length) where the words wanted end, then its rows; those of one id and text count as one.
+            rows = placed.join(F.broadcast(edge), ["_gl_k", "_gl_block"]).withColumn("sub", F.shiftright("_gl_h", 52))
+            run = Window.partitionBy("_gl_k").orderBy("sub")
+            subs = rows.groupBy("_gl_k", "want", "sub").agg(F.sum("size").alias("size")).withColumn("past", F.sum("size").over(run.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
+            subs = subs.where("past <= want").groupBy("_gl_k").agg(F.max(F.struct("sub", "past")).alias("x")).select("_gl_k", "x.sub", "x.past")
             run = Window.partitionBy("_gl_k").orderBy("_gl_h", "_gl_th")
-            # One block of each source is put in order; rows of one id and text count as one.
-            rows = placed.join(F.broadcast(edge), ["_gl_k", "_gl_block"]).groupBy("_gl_k", "want", "_gl_h", "_gl_th").agg(F.sum("size").alias("size"))
-            rows = rows.withColumn("before", F.sum("size").over(run.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
-            rows = rows.where(F.col("before") + F.col("size") / 2 <= F.col("want"))
-            cuts = {r["_gl_k"]: r["last"] for r in rows.groupBy("_gl_k").agg(F.max(F.struct("_gl_h", "_gl_th")).alias("last")).collect()}
+            rows = rows.join(F.broadcast(subs), ["_gl_k", "sub"]).groupBy("_gl_k", "want", "sub", "past", "_gl_h", "_gl_th").agg(F.sum("size").alias("size"))
+            rows = rows.withColumn("before", F.col("past") + F.sum("size").over(run.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
+            fits = F.when(F.col("before") + F.col("size") / 2 <= F.col("want"), F.struct("_gl_h", "_gl_th"))
+            for r in rows.groupBy("_gl_k").agg(F.max(fits).alias("last"), F.min("sub").alias("sub")).collect():
+                cuts[r["_gl_k"]] = r["last"] or (max(-(1 << 63), (r["sub"] << 52) - 1), (1 << 63) - 1)
 
         draws: dict[tuple[int, int], list] = {}
         for k, mine in enumerate(whole):
@@ -169,19 +175,26 @@ class Plan:
 
 
 def mix_digest(docs: DataFrame) -> DataFrame:
-    """A row per document: its size, its source's size and target, and the words that the mixture takes of it."""
+    """A row per document: its size, its source's size and target, the words that the mixture takes of it, and the shards and places where it is taken, in order of shards."""
     plan = Plan(docs)
-    return plan.draw(plan.place(plan.measured)).select("doc_id", "size", F.col("_gl_size").alias("source_size"), F.col("_gl_target").alias("target"), (F.size("_gl_draws") * F.col("size")).cast("bigint").alias("taken"))
+    rows = plan.draw(plan.place(plan.measured)).withColumn("_gl_draws", F.sort_array("_gl_draws"))
+    joined = lambda name: F.array_join(F.transform("_gl_draws", lambda d: d[name].cast("string")), ",")
+    taken = (F.size("_gl_draws") * F.col("size")).cast("bigint")
+    return rows.select("doc_id", "size", F.col("_gl_size").alias("source_size"), F.col("_gl_target").alias("target"), taken.alias("taken"), joined("shard").alias("shards"), joined("place").alias("places"))
 
 
-def mix(docs: DataFrame, ordered: bool = False, **options) -> DataFrame:
-    """The rows of ``docs``, each as often as it is taken, with mix_shard and mix_place; if ``ordered``, a partition per shard in its order.
+def mix(docs: DataFrame, ordered: bool = False, labels: bool = True, **options) -> DataFrame:
+    """The rows of ``docs``, each as often as it is taken, with mix_shard and mix_place (instead of columns of these names, if there are any).
 
-    Texts aren't shuffled unless ``ordered``: a row's draws follow from its own keys and two bounded tables.
+    Texts aren't shuffled unless ``ordered``: a row's draws follow from its own keys and two bounded tables. ``ordered`` puts
+    all rows in the order of shards and places, cut into ranges of it, so that no partition holds a whole shard of a large corpus;
+    without ``labels`` only the columns of ``docs`` are returned.
     """
     plan = Plan(docs, **options)
     out = plan.draw(plan.place(_keys(docs, plan.seed))).withColumn("_gl_draw", F.explode("_gl_draws"))
-    out = out.select(*docs.columns, F.col("_gl_draw.shard").alias("mix_shard"), F.col("_gl_draw.place").alias("mix_place"))
+    shard, place = F.col("_gl_draw.shard"), F.col("_gl_draw.place")
     if ordered:
-        out = out.repartition("mix_shard").sortWithinPartitions("mix_shard", "mix_place")
-    return out
+        out = out.repartitionByRange(shard, place).sortWithinPartitions(shard, place)
+    if not labels:
+        return out.select(*docs.columns)
+    return out.select(*[c for c in docs.columns if c not in ("mix_shard", "mix_place")], shard.alias("mix_shard"), place.alias("mix_place"))

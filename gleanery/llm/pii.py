@@ -31,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import cut
+from gleanery.llm.common import cut, let, running
 
 KINDS = ("email", "ip", "card", "phone", "remove", "generalise")
 REMOVE, GENERALISE, SHARE, BROADCAST = 0.66, 0.59, 0.8, 200_000
@@ -74,32 +74,14 @@ def _valid_phone(m: Column) -> Column:
     return F.length(F.translate(m, "+ ().-", "")).between(10, 15)
 
 
-def _let(value: Column, of) -> Column:
-    """``of`` a value that is computed once, however often the expression names it: in a lambda it would be anew for each element."""
-    return F.get(F.transform(F.array(value), of), F.lit(0))
-
-
-def _running(values: Column, of) -> Column:
-    """Running totals of an array under an associative function, in log n steps, each a pass over the array."""
-
-    def step(acc: Column, d: Column) -> Column:
-        return F.transform(acc, lambda x, i: F.when(i >= d, of(x, F.get(acc, i - d))).otherwise(x))
-
-    def whole(v: Column) -> Column:
-        steps = F.transform(F.sequence(F.lit(0), F.ceil(F.log2(F.size(v))).cast("int")), lambda i: F.pow(F.lit(2), i).cast("int"))
-        return F.when(F.size(v) > 1, F.aggregate(steps, v, step)).otherwise(v)
-
-    return _let(values, whole)
-
-
 def _matches(text: Column, pattern: str) -> Column:
     """The matches of a pattern in order: (e, m), the end in code points and the match."""
 
     def placed(found: Column) -> Column:
         lengths = F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), found, lambda g, m: F.length(g) + F.length(m))
-        return F.zip_with(_running(lengths, lambda a, b: a + b), found, lambda e, m: F.struct(e.alias("e"), m.alias("m")))
+        return F.zip_with(running(lengths, lambda a, b: a + b), found, lambda e, m: F.struct(e.alias("e"), m.alias("m")))
 
-    return _let(F.regexp_extract_all(text, F.lit(pattern), 0), placed)
+    return let(F.regexp_extract_all(text, F.lit(pattern), 0), placed)
 
 
 def _spans(text: Column, pattern: str, kind: int, valid) -> Column:
@@ -227,7 +209,7 @@ def find_digest(docs: DataFrame) -> DataFrame:
 def replaced(text: Column, spans: Column) -> Column:
     """The text with every span replaced: by its kind in brackets, by [TERM] if generalised, by nothing if removed; what overlaps an earlier span goes with it."""
     marks = F.array(*[F.lit(x) for x in ("[EMAIL]", "[IP]", "[CARD]", "[PHONE]", "", "[TERM]")])
-    reach = _running(F.transform(spans, lambda x: x["e"]), lambda a, b: F.greatest(a, b))
+    reach = running(F.transform(spans, lambda x: x["e"]), lambda a, b: F.greatest(a, b))
 
     def whole(v: Column) -> Column:
         # In UTF-32 a stretch of the text is found without counting from its start.
@@ -236,7 +218,7 @@ def replaced(text: Column, spans: Column) -> Column:
         pieces = F.transform(v["spans"], lambda x, i: F.when(x["s"] >= before(i), F.concat(stretch(before(i), x["s"]), F.get(v["marks"], x["k"]))).otherwise(""))
         return F.concat(F.array_join(pieces, ""), stretch(F.array_max(v["reach"]), v["length"]))
 
-    return _let(F.struct(F.encode(text, "UTF-32").alias("wide"), reach.alias("reach"), spans.alias("spans"), marks.alias("marks"), F.length(text).alias("length")), whole)
+    return let(F.struct(F.encode(text, "UTF-32").alias("wide"), reach.alias("reach"), spans.alias("spans"), marks.alias("marks"), F.length(text).alias("length")), whole)
 
 
 def sanitise(docs: DataFrame, **options) -> DataFrame:
