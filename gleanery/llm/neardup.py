@@ -3,18 +3,20 @@
 1. SimHash: fingerprints of the same shingles within RADIUS bits (``simhash.links``) name a leader for each of
    their texts; what is really similar to its leader is linked. That joins the close copies for a row each.
 2. Prefixes find what fingerprints miss. Two texts this similar share a shingle among the first
-   n - ceil(4n/5) + 1 of their n, in any order common to all texts, so all pairs that meet at such a shingle
-   are compared, except where step 1 has joined them already: no pair is missed.
-3. Of each text in such a pair the shingles are counted by hash in COUNTS classes. The sum of the lesser counts bounds what
-   two sets share from above, so pairs that it rules out go without their sets having to meet.
-4. Every link is verified on the whole sets (9 |a & b| >= 4 (|a| + |b|)); components of links are groups.
+   n - ceil(4n/5) + 1 of their n, in any order common to all texts. Of the texts that meet at a shingle each is
+   compared with the least of them; what is similar has that one as its leader, and what is linked by now is a group.
+3. Texts that meet, of different groups, are compared unless their leaders rule it out: distances obey the
+   triangle, a text is at most 0.2 from its leader, so leaders of a similar pair are at most 0.6 apart. Pairs of leaders
+   are met first and only texts of the pairs that are left are, so that two families of copies cost one comparison, and no pair is missed.
+4. Sketches spare most comparisons of sets: a text's shingles as 16-bit numbers, whose common multiset bounds from above what
+   the sets share. Every link is verified on the whole sets (9 |a & b| >= 4 (|a| + |b|)); components of links are groups.
 
 The order puts frequent shingles last, so that boilerplate isn't where texts meet. Frequencies come from a
 sample of the texts (one in EVERY, by hash) and at most HOT shingles are kept; they only decide how many pairs are compared, not what is found.
 
-Scale: a fifth of the shingles is shuffled, as two longs each; shingles that only one text or one group of
-step 1 has go before pairs are made. Whole sets are made only of texts in a pair that the counts leave. Texts aren't shuffled unless more than
-``simhash.BROADCAST`` of them are to go or to be compared.
+Scale: a fifth of the shingles is shuffled, as two longs each; shingles that only one text or one group has go before pairs
+are made; copies within a task emit theirs once. Sketches and sets are made only of texts in a pair, and shuffled once as they are and once for each pair.
+Texts aren't shuffled unless more than ``simhash.BROADCAST`` of them are to go or to be compared.
 
 Cases: words are cut at ASCII white space, A-Z in lower case; fewer words than a shingle make one
 shingle of all words, none an empty one; a null text is empty; ids, repeated rows, extra and empty tables as in ``simhash``.
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 from gleanery.llm.common import cut, map_batches, text_of
 from gleanery.llm.simhash import components, fingerprint, keep_rows, links, rows_of, shingle_hashes
 
-SHINGLE, RADIUS, EVERY, HOT, COUNTS = 5, 2, 16, 500_000, 128
+SHINGLE, RADIUS, EVERY, HOT, SEEN = 5, 2, 16, 500_000, 100_000
 
 
 def shingle_set(text: bytes) -> np.ndarray:
@@ -52,8 +54,17 @@ def _prefixed(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
             x = x[np.lexsort((x, np.where(known[at] == x, times[at], 0)))]
         return x[: len(x) - (4 * len(x) + 4) // 5 + 1]
 
+    seen: set[int] = set()  # texts of this task, up to a bound: a copy meets what its like has met
+
+    def new(th: int) -> bool:
+        if th in seen:
+            return False
+        if len(seen) < SEEN:
+            seen.add(th)
+        return True
+
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingle_set(t) for t in batch.column(2).to_pylist()]
+        sets = [shingle_set(t) if new(th) else np.zeros(0, np.int64) for th, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
         return pa.record_batch([batch.column(1), pa.array([len(x) for x in sets], pa.int64()), pa.array([prefix(x) for x in sets], pa.list_(pa.int64()))], names=["th", "n", "prefix"])
 
     return map_batches(_texts(docs), run, "th bigint, n bigint, prefix array<bigint>")
@@ -73,26 +84,41 @@ def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return found["s"].to_numpy(np.int64), found["count"].to_numpy(np.int64)
 
 
-def _counts(texts: DataFrame) -> DataFrame:
+def _sketches(texts: DataFrame) -> DataFrame:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [np.bincount(shingle_set(t) & (COUNTS - 1), minlength=COUNTS).astype(np.int32) for t in batch.column(2).to_pylist()]
-        return pa.record_batch([batch.column(1), pa.array(found, pa.list_(pa.int32()))], names=["th", "set"])
+        found = [np.sort((shingle_set(t) & 0xFFFF).astype(np.uint16)).tobytes() for t in batch.column(2).to_pylist()]
+        return pa.record_batch([batch.column(1), pa.array(found, pa.binary())], names=["th", "set"])
 
-    return map_batches(texts, run, "th bigint, set array<int>")
+    return map_batches(texts, run, "th bigint, set binary")
 
 
 def _beside(docs: DataFrame, firsts: DataFrame, pairs: DataFrame, what) -> DataFrame:
     """``pairs`` (a, b: hashes of texts) with sa and sb, what is made of their texts."""
     need = pairs.select(F.col("a").alias("th")).union(pairs.select("b")).distinct().join(firsts.select("th", "doc_id"), "th")
-    made = cut(what(_texts(rows_of(docs, cut(need), "left_semi"))).dropDuplicates(["th"]))
+    made = what(_texts(rows_of(docs, cut(need), "left_semi"))).dropDuplicates(["th"])
     return pairs.join(made.toDF("a", "sa"), "a").join(made.toDF("b", "sb"), "b")
 
 
+def shared(x: bytes, y: bytes) -> int:
+    """How many numbers two sketches have in common, repeats as often as both have them."""
+    a, b = np.frombuffer(x, np.uint16), np.frombuffer(y, np.uint16)
+    both = np.concatenate((a, b))
+    both.sort(kind="stable")
+    values, first = np.unique(both, return_index=True)
+    low = np.searchsorted(a, values), np.searchsorted(b, values)
+    high = np.searchsorted(a, values, "right"), np.searchsorted(b, values, "right")
+    return int(np.minimum(high[0] - low[0], high[1] - low[1]).sum()) if len(first) else 0
+
+
 def _possible(docs: DataFrame, firsts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``pairs`` without those that the counts rule out."""
-    size = lambda x: F.aggregate(x, F.lit(0), lambda t, v: t + v)
-    both = _beside(docs, firsts, pairs, _counts)
-    return cut(both.where(9 * size(F.zip_with("sa", "sb", lambda x, y: F.least(x, y))) >= 4 * (size(F.col("sa")) + size(F.col("sb")))).select("a", "b"))
+    """``pairs`` (a, b, least: the least similarity that is asked for, in percent) without those that the sketches rule out."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        a, b, least, sa, sb = (c.to_pylist() for c in batch.columns)
+        kept = [i for i in range(len(a)) if (100 + least[i]) * shared(sa[i], sb[i]) >= least[i] * (len(sa[i]) + len(sb[i])) // 2]
+        return pa.record_batch([pa.array([a[i] for i in kept], pa.int64()), pa.array([b[i] for i in kept], pa.int64()), pa.array([least[i] for i in kept], pa.int32())], names=["a", "b", "least"])
+
+    return cut(map_batches(_beside(docs, firsts, pairs, _sketches).select("a", "b", "least", "sa", "sb"), run, "a bigint, b bigint, least int"))
 
 
 def _verified(docs: DataFrame, firsts: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -101,6 +127,11 @@ def _verified(docs: DataFrame, firsts: DataFrame, pairs: DataFrame) -> DataFrame
     return cut(both.where(9 * F.size(F.array_intersect("sa", "sb")) >= 4 * (F.size("sa") + F.size("sb"))).select("a", "b"))
 
 
+def _linked(docs: DataFrame, firsts: DataFrame, pairs: DataFrame) -> DataFrame:
+    possible = _possible(docs, firsts, cut(pairs.withColumn("least", F.lit(80))))
+    return _verified(docs, firsts, possible.select("a", "b"))
+
+
 def similar(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The rows' keys (doc_id, th), and for each text that is similar to another th and root (th of its group)."""
 
@@ -114,17 +145,32 @@ def similar(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     led = firsts.join(near.toDF("fp", "root"), "fp", "left").select("th", F.coalesce("root", "fp").alias("root"))
     led = led.withColumn("b", F.min("th").over(Window.partitionBy("root"))).where("th <> b").select(F.col("th").alias("a"), "b")
     close = _verified(docs, firsts, cut(led))
-    # Links of step 1 are stars, so that a text's own link names its group.
-    group = close.toDF("th", "leader")
+    at = Window.partitionBy("s")
+    alike = F.expr("5 * least(na, nb) >= 4 * greatest(na, nb)")
+
+    def meeting(rows: DataFrame, by: str) -> DataFrame:
+        """Rows of shingles where more than one of ``by`` meet, with the least of them as low."""
+        return rows.withColumns({"low": F.min(by).over(at), "high": F.max(by).over(at)}).where("low <> high").drop("high")
 
     met = _prefixed(docs, _frequent(docs)).select("th", "n", F.explode("prefix").alias("s"))
-    at = Window.partitionBy("s")
-    met = met.withColumns({"low": F.min("th").over(at), "high": F.max("th").over(at)}).where("low <> high").select("s", "th", "n").distinct()
-    met = met.join(group, "th", "left").select("s", "th", "n", F.coalesce("leader", "th").alias("g"))
-    met = cut(met.withColumns({"low": F.min("g").over(at), "high": F.max("g").over(at)}).where("low <> high").select("s", "th", "n", "g"))
-    a, b = met.toDF("s", "a", "na", "ga"), met.toDF("s", "b", "nb", "gb")
-    pairs = a.join(b, "s").where("a > b and ga <> gb and 5 * least(na, nb) >= 4 * greatest(na, nb)").select("a", "b").distinct()
-    return rows.select("doc_id", "th"), components(close.union(_verified(docs, firsts, _possible(docs, firsts, cut(pairs))))).toDF("th", "root")
+    met = cut(meeting(met, "th").select("s", "th", "n").distinct())
+
+    # Each text and the least that it meets, but those that step 1 has linked.
+    first = met.select("s", F.struct("th", "n").alias("x")).groupBy("s").agg(F.min("x").alias("x")).select("s", F.col("x.th").alias("b"), F.col("x.n").alias("nb"))
+    stars = met.select("s", F.col("th").alias("a"), F.col("n").alias("na")).join(first, "s").where((F.col("a") != F.col("b")) & alike).select("a", "b").distinct().join(close, ["a", "b"], "left_anti")
+    close = cut(close.union(_linked(docs, firsts, stars)))
+    group = components(close).toDF("th", "g")
+    leader = close.groupBy(F.col("a").alias("th")).agg(F.min("b").alias("leader"))
+
+    rows_of_groups = met.join(group, "th", "left").join(leader, "th", "left").select("s", "th", "n", F.coalesce("g", "th").alias("g"), F.coalesce("leader", "th").alias("leader"))
+    met = cut(meeting(rows_of_groups, "g").drop("low"))
+    led = met.groupBy("s", "leader", "g").agg((F.max(F.col("th") != F.col("leader"))).alias("more"))
+    l, r = led.toDF("s", "a", "ga", "ma"), led.toDF("s", "b", "gb", "mb")
+    heads = l.join(r, "s").where("a > b and ga <> gb").groupBy("a", "b").agg(F.when(F.max(F.col("ma") | F.col("mb")), 40).otherwise(80).alias("least"))
+    heads = _possible(docs, firsts, cut(heads)).select("a", "b")
+    a, b, both = met.toDF("s", "a", "na", "ga", "la"), met.toDF("s", "b", "nb", "gb", "lb"), heads.union(heads.select("b", "a")).toDF("la", "lb")
+    pairs = a.join(both, "la").join(b, ["s", "lb"]).where((F.col("ga") < F.col("gb")) & alike).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    return rows.select("doc_id", "th"), components(close.union(_linked(docs, firsts, pairs))).toDF("th", "root")
 
 
 def keep_representatives(docs: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ import pytest
 import xxhash
 
 import corpus_pipeline
+from test_neardup import brute_kept
 from gleanery.llm import ann, langid, mixing, pii, quality, simhash
 
 SMALL = "/root/testdata/sf0.001"
@@ -325,14 +326,28 @@ def test_pipeline_stages(spark, tmp_path):
         if name == "language_id":
             assert set(before.doc_id) - set(after.doc_id) == {-1, -2}
         if name == "simhash_near_dedup":
-            want = brute_components(before.doc_id.tolist(), [brute_fp(t) for t in before.text], 2)
-            assert sorted(after.doc_id) == sorted(set(want))
+            assert sorted(after.doc_id) == brute_kept(list(zip(before.doc_id, before.text, strict=True)))
         if name == "pii":
             assert len(after) == len(before) and not any("@mail" in t for t in after.text) and "me@you" not in after[after.doc_id == -3].text.iloc[0]
             same = before.merge(after, on="doc_id")
-            assert all(a == b for a, b in zip(same.text_x, same.text_y, strict=True) if not brute_spans(a))
+            told = {r["doc_id"] for r in pii.find(spark.createDataFrame(before)).collect() if r["spans"]}
+            assert all(a == b for i, a, b in zip(same.doc_id, same.text_x, same.text_y, strict=True) if i not in told) and len(told) < 0.2 * len(before)
         if name == "source_mixing":
             assert after.doc_id.value_counts().max() <= 2 and set(after.doc_id) <= set(before.doc_id)
         if name == "best_fit_packing":
             assert sorted(after[after.piece == 0].doc_id) == sorted(before.doc_id)
             assert after.groupby("sequence_id").length.sum().max() <= 2048
+
+
+def test_pipeline_on_odd_tables(spark):
+    """Empty tables, repeated rows, nulls everywhere, and columns of the names that stages use."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").limit(60)
+    nulls = spark.createDataFrame([(None, None, None, None, None)] * 3, docs.schema)
+    odd = docs.union(docs.limit(5)).union(nulls).selectExpr("*", "source AS mix_shard", "doc_id AS th", "text AS extra", "doc_id AS size")
+    for table in (odd, odd.where("false")):
+        now = table
+        for name, stage in corpus_pipeline.STAGES:
+            now = stage(spark, now, SMALL)
+            if name != "best_fit_packing":
+                assert now.columns == odd.columns
+        assert (now.count() > 0) == (table is odd)

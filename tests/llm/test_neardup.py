@@ -53,3 +53,26 @@ def test_near_duplicate_stage_is_brute_force_jaccard(spark, made):
     rows = [(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()]
     got = dict(corpus_pipeline.STAGES)["simhash_near_dedup"](spark, df, SMALL)
     assert got.columns == df.columns and sorted(r["doc_id"] for r in got.collect()) == brute_kept(rows)
+
+
+def test_families_that_share_half_a_text(spark):
+    """Copies of two texts that share enough for their leaders to be met, chains between them, and many copies of one."""
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(5))
+    one = [word() for _ in range(120)]
+    two = one[:80] + [word() for _ in range(40)]
+    rows = []
+    for share in range(0, 41, 2):  # a chain from one family to the other
+        rows.append(one[:80] + two[80 : 80 + share] + one[80 + share :])
+    for family in (one, two):
+        for _ in range(60):
+            copy = list(family)
+            copy[rnd.randrange(120)] = word()
+            rows.append(copy)
+    other = [word() for _ in range(60)]
+    rows += [one[:60] + other, one[:55] + [word() for _ in range(5)] + other]
+    rnd.shuffle(rows)
+    for kept in (rows, [r for r in rows if r[80:100] == one[80:100] or r[100:] == two[100:]]):
+        df = spark.createDataFrame([(i, " ".join(r)) for i, r in enumerate(kept)], "doc_id long, text string")
+        got = corpus_pipeline.STAGES[1][1](spark, df, SMALL)
+        assert sorted(r["doc_id"] for r in got.collect()) == brute_kept([(i, " ".join(r)) for i, r in enumerate(kept)])
