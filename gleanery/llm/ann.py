@@ -8,12 +8,13 @@ fitting. Candidates of all tables are ranked by the exact cosine, in double prec
 
 Index rows and probes meet by bucket, grouped into cells of work. A bucket of more than ``part_rows`` rows is
 split by hash of vec_id into parts of about that size, and its probes (only its own) are sent to every
-part: a bucket with a third of all rows is split, no cell grows with the data, and within a
-cell queries meet rows in blocks, each keeping its k best. A query that found fewer than k meets all
-rows, in the same blocks, so results are short only where there are too few candidates.
+part: a bucket with a third of all rows is split, and no cell grows with the data. What is shuffled is a row's vector, as
+it is stored, for each table, numbers for each probe, and a query's vector for each cell that it visits. Within a
+cell a query meets the rows of its buckets, a stretch of the sorted rows for each, and keeps its k best. A query that found fewer than k meets all
+rows, in blocks, so results are short only where there are too few candidates.
 
-Cases: vectors that are null, zero, of another length than the longest or that hold null or non-finite
-components take no part; a null vec_id neither asks nor answers; equal scores go to the smaller vec_id;
+Cases: vectors that are null, zero or that hold null or non-finite components take no part; vectors of different lengths
+have no cosine, so each length is searched on its own; a null vec_id neither asks nor answers; equal scores go to the smaller vec_id;
 of rows with one vec_id the nearest counts once, and none of them answers that id's query; extra columns
 are ignored; an empty table gives no rows.
 
@@ -22,6 +23,7 @@ Recall on the test tables is measured against brute force in ``tests/llm``.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import product
 
 import numpy as np
@@ -37,11 +39,11 @@ BROADCAST = 1_000_000
 
 
 def valid(rows: DataFrame) -> DataFrame:
-    """vec_id and v (array<double>) of the rows that take part."""
+    """vec_id and v (as it is stored) of the rows that take part."""
     v = F.col("embedding").cast("array<double>")
-    bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    rows = rows.select(F.col("vec_id").cast("bigint").alias("vec_id"), v.alias("v")).where(F.col("vec_id").isNotNull() & (F.size("v") > 0))
-    return rows.where(~bad & F.exists("v", lambda x: x != 0))
+    bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    rows = rows.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").alias("v"), v.alias("w")).where(F.col("vec_id").isNotNull() & (F.size("v") > 0))
+    return rows.where(~bad & F.exists("w", lambda x: x != 0)).select("vec_id", "v")
 
 
 def _functions(dim: int, tables: int, hashes: int, width: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -58,15 +60,22 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _bucket(cells: np.ndarray) -> np.ndarray:
-    """A 64-bit number for each row of cell numbers."""
-    out = np.zeros(cells.shape[:-1], np.uint64)
+def _bucket(cells: np.ndarray, dim: int) -> np.ndarray:
+    """A 64-bit number for each row of cell numbers of vectors of a length."""
+    out = np.full(cells.shape[:-1], dim, np.uint64)
     for i in range(cells.shape[-1]):
         out = (out ^ cells[..., i].astype(np.int64).view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
         out ^= out >> np.uint64(29)
     return out.view(np.int64)
 
 
+def _by_length(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """The rows of each length of vectors."""
+    lengths = rows["v"].map(len).to_numpy()
+    for n in np.unique(lengths):
+        yield rows if (lengths == n).all() else rows[lengths == n]
+
+
 def probes(f: np.ndarray, count: int) -> np.ndarray:
     """For each row of cell coordinates (n x hashes), the ``count`` most promising cells (n x count x hashes), its own first."""
     n, m = f.shape
@@ -85,45 +94,46 @@ def score(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return (x * q).sum(axis=1) / (np.sqrt((q * q).sum()) * np.sqrt((x * x).sum(axis=1)))
 
 
-def _nearest(qid: np.ndarray, q: np.ndarray, vid: np.ndarray, x: np.ndarray, k: int) -> list[tuple[int, int, float]]:
-    """The k best rows for each query, by block; a first ranking by matrix product, then exact with a margin for ties."""
-    out: list[tuple[int, int, float]] = []
-    unit, at_once = _unit(x), max(1, 2_000_000 // max(1, len(x)))
-    # Rows of one vec_id are folded before the cut, which is by each id's best row.
-    by_id = np.argsort(vid, kind="stable")
-    firsts = np.flatnonzero(np.append(True, vid[by_id][1:] != vid[by_id][:-1]))
-    for a in range(0, len(q), at_once):
-        near = _unit(q[a : a + at_once]) @ unit.T
-        for i, row in enumerate(near):
-            row[vid == qid[a + i]] = -9
-            best = row if len(firsts) == len(row) else np.maximum.reduceat(row[by_id], firsts)
-            floor = np.partition(best, len(best) - k)[len(best) - k] if len(best) > k else -8.0
-            at = np.flatnonzero(row >= max(floor, -8.0) - 1e-9)
-            s = score(q[a + i], x[at])
-            order = np.lexsort((vid[at], -s))
-            taken: set[int] = set()
-            for j in order:
-                if (v := int(vid[at[j]])) not in taken:
-                    taken.add(v)
-                    out.append((int(qid[a + i]), v, float(s[j])))
-                    if len(taken) == k:
-                        break
+def _nearest(qid: int, q: np.ndarray, unit_q: np.ndarray, vid: np.ndarray, x: np.ndarray, unit: np.ndarray, k: int) -> list[tuple[int, int, float]]:
+    """The k best of some rows for a query, each vec_id once; a first ranking by matrix product, then exact with a margin for ties."""
+    near = np.where(vid == qid, -9.0, unit @ unit_q)
+    most = k
+    while True:
+        # Rows of one vec_id count once, so the cut moves down until k ids are above it, or all rows are.
+        floor = np.partition(near, len(near) - most)[len(near) - most] if most < len(near) else -8.0
+        at = np.flatnonzero(near >= max(floor, -8.0) - 1e-9)
+        if most >= len(near) or len(np.unique(vid[at])) >= k:
+            break
+        most = min(len(near), most * 4)
+    s = score(q, x[at])
+    out, taken = [], set()
+    for j in np.lexsort((vid[at], -s)):
+        if (v := int(vid[at[j]])) not in taken:
+            taken.add(v)
+            out.append((int(qid), v, float(s[j])))
+            if len(taken) == k:
+                break
     return out
 
 
 def _meet(index: DataFrame, asked: DataFrame, k: int) -> DataFrame:
-    """index (cell, bucket, vec_id, v) and asked (cell, bucket, query_id, v) to query_id, vec_id, score."""
+    """index (cell, bucket, vec_id, v) and asked (cell, buckets, query_id, v) to query_id, vec_id, score."""
 
     def run(_, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         found: list[tuple[int, int, float]] = []
-        if len(left) and len(right):
-            x, q = _stack(left["v"]), _stack(right["v"])
-            xb, qb, vid, qid = (c.to_numpy() for c in (left["bucket"], right["bucket"], left["vec_id"], right["query_id"]))
-            order, asks = np.argsort(xb, kind="stable"), np.argsort(qb, kind="stable")
-            for b in np.intersect1d(xb, qb):
-                mine = order[np.searchsorted(xb, b, "left", order) : np.searchsorted(xb, b, "right", order)]
-                own = asks[np.searchsorted(qb, b, "left", asks) : np.searchsorted(qb, b, "right", asks)]
-                found += _nearest(qid[own], q[own], vid[mine], x[mine], k)
+        rows = {len(part["v"].iloc[0]): part.sort_values("bucket", kind="stable") for part in _by_length(left)} if len(left) else {}
+        for asks in _by_length(right) if len(right) else ():
+            mine = rows.get(len(asks["v"].iloc[0]))
+            if mine is None:
+                continue
+            x, buckets, vid = _stack(mine["v"]), mine["bucket"].to_numpy(), mine["vec_id"].to_numpy()
+            unit, q = _unit(x), _stack(asks["v"])
+            for i, (qid, own, unit_q) in enumerate(zip(asks["query_id"], asks["buckets"], _unit(q), strict=True)):
+                own = np.unique(own)
+                low, high = np.searchsorted(buckets, own), np.searchsorted(buckets, own, "right")
+                at = np.concatenate([np.arange(a, b) for a, b in zip(low, high, strict=True)])
+                if len(at):
+                    found += _nearest(qid, q[i], unit_q, vid[at], x[at], unit[at], k)
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
     return index.groupBy("cell").cogroup(asked.groupBy("cell")).applyInPandas(run, "query_id bigint, vec_id bigint, score double")
@@ -133,32 +143,31 @@ def search(rows: DataFrame, queries: DataFrame, k: int = K, tables: int = TABLES
     """query_id, rank, vec_id, score: the k nearest of ``rows`` found for each of ``queries`` (both vec_id, embedding)."""
     ship(rows.sparkSession)
     x, q = valid(rows), valid(queries)
-    size = x.agg(F.max(F.size("v")).alias("dim"), F.count("*").alias("n")).first()
-    dim, n = size["dim"] or 1, size["n"]
-    x, q = x.where(F.size("v") == dim), q.where(F.size("v") == dim)
+    stored = x.schema["v"].dataType.simpleString()
+    n = x.count()
     # Cells of work per table, so that one holds about part_rows rows.
     spread = max(1, n // part_rows)
 
-    def indexed(batches):
+    def projected(d: pd.DataFrame) -> tuple[int, np.ndarray]:
+        dim = len(d["v"].iloc[0])
         a, b = _functions(dim, tables, hashes, width, seed)
-        for d in batches:
-            if len(d):
-                f = np.floor((_unit(_stack(d["v"])) @ a + b) / width).astype(np.int64).reshape(len(d), tables, hashes)
-                for t in range(tables):
-                    yield pd.DataFrame({"t": np.int32(t), "bucket": _bucket(f[:, t]), "vec_id": d["vec_id"], "v": d["v"]})
+        return dim, ((_unit(_stack(d["v"])) @ a + b) / width).reshape(len(d), tables, hashes)
+
+    def indexed(batches):
+        for d in (part for batch in batches if len(batch) for part in _by_length(batch)):
+            dim, f = projected(d)
+            for t in range(tables):
+                yield pd.DataFrame({"t": np.int32(t), "bucket": _bucket(np.floor(f[:, t]).astype(np.int64), dim), "vec_id": d["vec_id"], "v": d["v"]})
 
     def asking(batches):
-        a, b = _functions(dim, tables, hashes, width, seed)
-        for d in batches:
-            if len(d):
-                f = ((_unit(_stack(d["v"])) @ a + b) / width).reshape(len(d), tables, hashes)
-                for t in range(tables):
-                    buckets = _bucket(probes(f[:, t], count))
-                    for j in range(buckets.shape[1]):
-                        yield pd.DataFrame({"t": np.int32(t), "bucket": buckets[:, j], "query_id": d["vec_id"], "v": d["v"]})
-
-    index = x.mapInPandas(indexed, "t int, bucket bigint, vec_id bigint, v array<double>")
-    asked = q.mapInPandas(asking, "t int, bucket bigint, query_id bigint, v array<double>")
+        for d in (part for batch in batches if len(batch) for part in _by_length(batch)):
+            dim, f = projected(d)
+            for t in range(tables):
+                buckets = _bucket(probes(f[:, t], count), dim)
+                yield pd.DataFrame({"t": np.int32(t), "bucket": buckets.ravel(), "query_id": np.repeat(d["vec_id"].to_numpy(), buckets.shape[1])})
+
+    index = x.mapInPandas(indexed, f"t int, bucket bigint, vec_id bigint, v {stored}")
+    asked = q.mapInPandas(asking, "t int, bucket bigint, query_id bigint")
     # Only buckets over part_rows are split: at most n / part_rows of them in a table of hashes.
     hot = cut(index.groupBy("t", "bucket").count().where(F.col("count") > part_rows).select("t", "bucket", F.ceil(F.col("count") / part_rows).cast("bigint").alias("parts")))
     parts = F.coalesce("parts", F.lit(1).cast("bigint"))
@@ -169,7 +178,9 @@ def search(rows: DataFrame, queries: DataFrame, k: int = K, tables: int = TABLES
     if large <= BROADCAST:
         hot = F.broadcast(hot)
     index, asked = (x.join(hot, ["t", "bucket"], "left") if large else x.withColumn("parts", F.lit(1).cast("bigint")) for x in (index, asked))
-    found = _meet(index.withColumn("p", part).select(cell(F.col("p")).alias("cell"), "bucket", "vec_id", "v"), asked.withColumn("p", every).select(cell(F.col("p")).alias("cell"), "bucket", "query_id", "v"), k)
+    visits = asked.withColumn("p", every).select(cell(F.col("p")).alias("cell"), "bucket", "query_id").groupBy("cell", "query_id").agg(F.collect_list("bucket").alias("buckets"))
+    visits = visits.join(q.select(F.col("vec_id").alias("query_id"), "v"), "query_id")
+    found = _meet(index.withColumn("p", part).select(cell(F.col("p")).alias("cell"), "bucket", "vec_id", "v"), visits.select("cell", "buckets", "query_id", "v"), k)
 
     def best(f: DataFrame) -> DataFrame:
         f = f.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
@@ -183,7 +194,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int = K, tables: int = TABLES
         return top
     blocks = max(1, -(-n // part_rows))
     all_ = x.select(F.pmod(F.xxhash64(F.lit(seed), "vec_id"), F.lit(blocks)).cast("string").alias("cell"), F.lit(0).cast("bigint").alias("bucket"), "vec_id", "v")
-    asks = short.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<string>")).alias("cell"), F.lit(0).cast("bigint").alias("bucket"), "query_id", "v")
+    asks = short.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<string>")).alias("cell"), F.array(F.lit(0).cast("bigint")).alias("buckets"), "query_id", "v")
     again = best(_meet(all_, asks, k))
     return top.join(full.select("query_id"), "query_id", "left_semi").select("query_id", "rank", "vec_id", "score").unionByName(again)
 

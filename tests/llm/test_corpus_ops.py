@@ -244,6 +244,12 @@ def test_neighbours_edge_cases(spark):
         got = ann.search(df, df.where("vec_id % 50 = 0"), part_rows=parts).toPandas()
         assert set(got.query_id) == {100, 200} and got[got.query_id == 100].sort_values("rank").vec_id.tolist() == [200, 201, 202, 203, 204]
         assert (got[got.query_id == 100].score == 1.0).all()
+    # A longer vector, or several, take nothing from the others and are searched among themselves.
+    longer = df.union(spark.createDataFrame([(400, [1.0, 0.0, 0.0, 0.0, 9.0], "long"), (401, [1.0, 0.0, 0.0, 0.0, 8.0], "long")], df.schema))
+    for parts in (20_000, 3):
+        more = ann.search(longer, longer.where("vec_id % 50 = 0"), part_rows=parts).toPandas()
+        assert sorted(map(tuple, more[more.query_id < 400].values.tolist())) == sorted(map(tuple, got.values.tolist()))
+        assert more[more.query_id == 400].vec_id.tolist() == [401]
     few = df.where("vec_id in (100, 3, 4)")
     assert len(ann.search_self(few).toPandas()) == 2  # all candidates, where there are fewer
     assert ann.search_self(df.where("false")).count() == 0
