@@ -8,6 +8,7 @@
 3. Texts that meet, of different groups, are compared unless their leaders rule it out: distances obey the
    triangle, a text is at most 0.2 from its leader, so leaders of a similar pair are at most 0.6 apart. Pairs of leaders
    are met first and only texts of the pairs that are left are, so that two families of copies cost one comparison, and no pair is missed.
+   How many shingles of their prefixes two texts share bounds what they share in all (``_often``), so those that meet by chance are never compared.
 4. Sketches spare most comparisons of sets: a text's shingles as 16-bit numbers, whose common multiset bounds from above what
    the sets share. Every link is verified on the whole sets (9 |a & b| >= 4 (|a| + |b|)); components of links are groups.
 
@@ -146,33 +147,46 @@ def similar(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     led = led.withColumn("b", F.min("th").over(Window.partitionBy("root"))).where("th <> b").select(F.col("th").alias("a"), "b")
     close = _verified(docs, firsts, cut(led))
     at = Window.partitionBy("s")
-    alike = F.expr("5 * least(na, nb) >= 4 * greatest(na, nb)")
 
     def meeting(rows: DataFrame, by: str) -> DataFrame:
-        """Rows of shingles where more than one of ``by`` meet, with the least of them as low."""
-        return rows.withColumns({"low": F.min(by).over(at), "high": F.max(by).over(at)}).where("low <> high").drop("high")
+        """Rows of shingles where more than one of ``by`` meet."""
+        return rows.withColumns({"low": F.min(by).over(at), "high": F.max(by).over(at)}).where("low <> high").drop("low", "high")
 
     met = _prefixed(docs, _frequent(docs)).select("th", "n", F.explode("prefix").alias("s"))
     met = cut(meeting(met, "th").select("s", "th", "n").distinct())
 
-    # Each text and the least that it meets, but those that step 1 has linked.
+    # Each text and the least that it meets, if they meet often enough at the least one's shingles; what this leaves out is compared below.
     first = met.select("s", F.struct("th", "n").alias("x")).groupBy("s").agg(F.min("x").alias("x")).select("s", F.col("x.th").alias("b"), F.col("x.n").alias("nb"))
-    stars = met.select("s", F.col("th").alias("a"), F.col("n").alias("na")).join(first, "s").where((F.col("a") != F.col("b")) & alike).select("a", "b").distinct().join(close, ["a", "b"], "left_anti")
-    close = cut(close.union(_linked(docs, firsts, stars)))
+    stars = met.select("s", F.col("th").alias("a"), F.col("n").alias("na")).join(first, "s").where("a <> b and 5 * least(na, nb) >= 4 * greatest(na, nb)")
+    stars = stars.groupBy("a", "b").agg(F.count("*").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb")).where(_often("least(na, nb)", "greatest(na, nb)"))
+    close = cut(close.union(_linked(docs, firsts, stars.select("a", "b").join(close, ["a", "b"], "left_anti"))))
     group = components(close).toDF("th", "g")
     leader = close.groupBy(F.col("a").alias("th")).agg(F.min("b").alias("leader"))
 
-    rows_of_groups = met.join(group, "th", "left").join(leader, "th", "left").select("s", "th", "n", F.coalesce("g", "th").alias("g"), F.coalesce("leader", "th").alias("leader"))
-    met = cut(meeting(rows_of_groups, "g").drop("low"))
-    led = met.groupBy("s", "leader", "g").agg((F.max(F.col("th") != F.col("leader"))).alias("more"))
-    l, r = led.toDF("s", "a", "ga", "ma"), led.toDF("s", "b", "gb", "mb")
-    heads = l.join(r, "s").where("a > b and ga <> gb").groupBy("a", "b").agg(F.when(F.max(F.col("ma") | F.col("mb")), 40).otherwise(80).alias("least"))
+    named = met.join(group, "th", "left").join(leader, "th", "left").select("s", "th", "n", F.coalesce("g", "th").alias("g"), F.coalesce("leader", "th").alias("leader"))
+    met = cut(meeting(named, "g"))
+    family = met.groupBy("leader").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("th") != F.col("leader")).alias("more"))
+    led = met.select("s", "leader", "g").distinct()
+    l, r = led.toDF("s", "a", "ga"), led.toDF("s", "b", "gb")
+    heads = l.join(r, "s").where("a > b and ga <> gb").groupBy("a", "b").agg(F.count("*").alias("c"))
+    heads = heads.join(family.toDF("a", "la", "ha", "ma"), "a").join(family.toDF("b", "lb", "hb", "mb"), "b")
+    heads = heads.where("5 * ha >= 4 * lb and 5 * hb >= 4 * la").where(_often("least(la, lb)", "greatest(ha, hb)")).select("a", "b", F.when(F.col("ma") | F.col("mb"), 40).otherwise(80).alias("least"))
     heads = _possible(docs, firsts, cut(heads)).select("a", "b")
     a, b, both = met.toDF("s", "a", "na", "ga", "la"), met.toDF("s", "b", "nb", "gb", "lb"), heads.union(heads.select("b", "a")).toDF("la", "lb")
-    pairs = a.join(both, "la").join(b, ["s", "lb"]).where((F.col("ga") < F.col("gb")) & alike).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    pairs = a.join(both, "la").join(b, ["s", "lb"]).where("ga < gb and 5 * least(na, nb) >= 4 * greatest(na, nb)").groupBy(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).agg(F.count("*").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    pairs = pairs.where(_often("least(na, nb)", "greatest(na, nb)")).select("a", "b")
     return rows.select("doc_id", "th"), components(close.union(_linked(docs, firsts, pairs))).toDF("th", "root")
 
 
+def _often(low: str, high: str) -> str:
+    """Whether texts that share c shingles of their prefixes can be similar, from the least and the largest size.
+
+    In the common order one prefix ends first, at a text of n shingles say: what the two share is in both prefixes up to there, or
+    among the ceil(4n/5) - 1 shingles of that text that follow. So they share c + ceil(4n/5) - 1 at most, and need 4/9 of both sizes.
+    """
+    return f"45 * c >= 20 * {low} - 16 * {high} + 9"
+
+
 def keep_representatives(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each group of similar texts: the one of the smallest doc_id (of several texts with that id, the one of the least hash)."""
     rows, roots = similar(docs)
