@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,3 +40,10 @@ def dense(sparse: DataFrame, dim: int = 128, key: str = "doc_id") -> DataFrame:
     """key, vec (array<double>) from (key, bucket, weight)."""
     entries = sparse.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "weight"))).alias("m"))
     return entries.select(key, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("vec"))
+
+
+def unit_rows(vectors) -> np.ndarray:
+    """A column of vectors as a matrix of rows of length 1; zero rows stay zero."""
+    x = np.stack([np.asarray(v, dtype=np.float64) for v in vectors]) if len(vectors) else np.zeros((0, 0))
+    n = np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return np.divide(x, n, out=np.zeros_like(x), where=n > 0)

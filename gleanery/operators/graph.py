@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gleanery.functions import text as T
 from gleanery.session import cut
 
-DAMPING, ROUNDS = 0.85, 40
+DAMPING, ROUNDS, CUT = 0.85, 40, 10
 
 
 def link_edges(links: DataFrame, pages: DataFrame, normalize: bool = False) -> DataFrame:
@@ -22,24 +22,34 @@ def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = ROUNDS, damping:
     """node, pagerank after a fixed number of rounds over a multigraph; what dangling nodes hold is spread over all.
 
     Repeated edges become one with a weight, and only what comes in over edges is kept: a node's rank is that,
-    damped, and one number for all nodes, which follows from the total because ranks add up to 1. So a round is one join and one
-    sum, combined on the map side, and a checkpoint, which keeps the plan of every round the same size.
+    damped, and one number for all nodes, which follows from the total because ranks add up to 1. So a round is one join with
+    edges that stay partitioned by their source, one sum, combined on the map side, and one number for the driver. What a round gives is kept
+    in memory and disk by the executors; every CUT rounds a reliable checkpoint cuts the lineage, which is what a lost executor costs at most.
     """
     nodes = nodes.select("node").distinct()
     weighted = edges.groupBy("src", "dst").agg(F.count("*").alias("m"))
     out = weighted.groupBy("src").agg(F.sum("m").alias("d"))
-    e = cut(weighted.join(out, "src").select("src", "dst", (F.col("m") / F.col("d")).alias("w")))
+    e = cut(weighted.join(out, "src").select("src", "dst", (F.col("m") / F.col("d")).alias("w"))).repartition("src").persist()
     nodes = cut(nodes)
     n = nodes.count()
-    came, same, damped = None, 1.0 / max(1, n), 0.0
-    for _ in range(rounds if n else 0):
+    came, kept, same, damped = None, [], 1.0 / max(1, n), 0.0
+    for i in range(rounds if n else 0):
         if came is None:
             rows = e.select("dst", (F.col("w") * same).alias("x"))
         else:
             rows = e.join(came.withColumnRenamed("node", "src"), "src", "left").select("dst", (F.col("w") * (same + damped * F.coalesce("came", F.lit(0.0)))).alias("x"))
-        came = cut(rows.groupBy(F.col("dst").alias("node")).agg(F.sum("x").alias("came")))
+        came = rows.groupBy(F.col("dst").alias("node")).agg(F.sum("x").alias("came"))
+        last = i == rounds - 1
+        came = cut(came) if last or i % CUT == CUT - 1 else came.persist()
         loose = 1.0 - (came.agg(F.sum("came")).first()[0] or 0.0)
         same, damped = (1 - damping) / n + damping * loose / n, damping
+        if last or i % CUT == CUT - 1:
+            for old in kept:
+                old.unpersist()
+            kept = []
+        else:
+            kept.append(came)
+    e.unpersist()
     if came is None:
         return nodes.select("node", F.lit(same).alias("pagerank"))
     return nodes.join(came, "node", "left").select("node", (same + damped * F.coalesce("came", F.lit(0.0))).alias("pagerank"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleanery.functions import text as T
-from gleanery.session import ship
+from gleanery.session import cut, ship
 
 
 def index_text(docs: DataFrame, normalize: bool = False) -> Column:
@@ -77,11 +77,21 @@ def build(docs: DataFrame, positions: bool = True, normalize: bool = False) -> I
     return Index(posts, stats, dictionary(posts), corpus_stats(stats))
 
 
+#: A term that no text has: its postings are the documents themselves.
+EVERY = "\x00"
+
+
 def restricted(docs: DataFrame, terms: DataFrame, normalize: bool = False) -> Index:
-    """An index of the given terms only (term): others go before anything is grouped or shuffled. For queries over a corpus that isn't indexed."""
-    kept = term_table(docs, normalize).join(terms.select("term").distinct(), "term", "left_semi")
-    posts = kept.groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
-    stats = doc_stats(docs, normalize)
+    """An index of the given terms only (term): others go before anything is grouped or shuffled. For queries over a corpus that isn't indexed.
+
+    Texts are analysed once: every document posts EVERY, too, so postings and lengths come from one pass, which is cut.
+    """
+    words = docs.select("doc_id", T.tokens(index_text(docs, normalize)).alias("ws"))
+    rows = words.select("doc_id", F.size("ws").cast("bigint").alias("doc_len"), F.explode(F.concat(F.array(F.lit(EVERY)), "ws")).alias("w")).withColumn("w", T.fold(F.col("w")))
+    kept = rows.where(~T.is_stop_word(F.col("w"))).select("doc_id", "doc_len", T.stem(F.col("w")).alias("term"))
+    wanted = terms.select("term").union(docs.sparkSession.createDataFrame([(EVERY,)], "term string")).distinct()
+    found = cut(kept.join(wanted, "term", "left_semi").groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.max("doc_len").alias("doc_len")))
+    posts, stats = found.where(F.col("term") != EVERY), found.where(F.col("term") == EVERY).select("doc_id", "doc_len")
     return Index(posts, stats, dictionary(posts), corpus_stats(stats))
 
 

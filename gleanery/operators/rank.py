@@ -1,5 +1,6 @@
 """How documents are ordered: BM25, normalisation, fusion, paging, diversity, snippets. Everything carries a query_id: N queries, one plan."""
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,6 +11,8 @@ from gleanery.operators.index import Index
 from gleanery.session import ship
 
 K1, B, RRF_K, SNIPPET, PER_HOST = 1.5, 0.75, 60, 150, 2
+#: Query vectors that are broadcast at once: 128 doubles each make 4 MB.
+QUERIES = 4096
 
 
 def idf(n_docs: Column, df: Column) -> Column:
@@ -21,9 +24,12 @@ def bm25(index: Index, terms: DataFrame, k1: float = K1, b: float = B) -> DataFr
 
     Postings meet the query terms first, so only lists that are asked for go on; document statistics join afterwards.
     """
-    hit = index.postings.select("term", "doc_id", "tf").join(terms, "term")
-    with_df = hit.join(index.dictionary.join(terms.select("term").distinct(), "term", "left_semi"), "term")
-    rows = with_df.join(index.stats.select("doc_id", "doc_len"), "doc_id").crossJoin(F.broadcast(index.corpus))  # one row
+    known = "doc_len" in index.postings.columns
+    hit = index.postings.select("term", "doc_id", "tf", *(["doc_len"] if known else [])).join(terms, "term")
+    rows = hit.join(index.dictionary.join(terms.select("term").distinct(), "term", "left_semi"), "term")
+    if not known:
+        rows = rows.join(index.stats.select("doc_id", "doc_len"), "doc_id")
+    rows = rows.crossJoin(F.broadcast(index.corpus))  # one row
     tf, length = F.col("tf"), F.col("doc_len") / F.col("avg_len")
     score = F.col("qtf") * idf(F.col("n_docs"), F.col("df")) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length))
     return rows.groupBy("query_id", "doc_id").agg(F.sum(score).alias("bm25"))
@@ -31,9 +37,10 @@ def bm25(index: Index, terms: DataFrame, k1: float = K1, b: float = B) -> DataFr
 
 def min_max(rows: DataFrame, column: str, out: str, by: str = "query_id") -> DataFrame:
     """Scale a column to 0..1 within each query; 0.5 where all are equal."""
-    edge = rows.groupBy(by).agg(F.min(column).alias("_low"), F.max(column).alias("_high"))
+    over = Window.partitionBy(by)
+    rows = rows.withColumns({"_low": F.min(column).over(over), "_high": F.max(column).over(over)})
     scaled = F.when(F.col("_high") == F.col("_low"), 0.5).otherwise((F.col(column) - F.col("_low")) / (F.col("_high") - F.col("_low")))
-    return rows.join(edge, by).withColumn(out, scaled).drop("_low", "_high")
+    return rows.withColumn(out, scaled).drop("_low", "_high")
 
 
 def fuse(scored: DataFrame, pagerank: DataFrame | None, weight: float = 0.75) -> DataFrame:
@@ -64,8 +71,8 @@ def rrf(channels: DataFrame, k: int = RRF_K) -> DataFrame:
 
 
 def _by_max(rows: DataFrame, out: str) -> DataFrame:
-    most = rows.groupBy("query_id").agg(F.max("score").alias("_m"))
-    return rows.join(most, "query_id").select("query_id", "doc_id", F.when(F.col("_m") > 0, F.col("score") / F.col("_m")).otherwise(0.0).alias(out))
+    rows = rows.withColumn("_m", F.max("score").over(Window.partitionBy("query_id")))
+    return rows.select("query_id", "doc_id", F.when(F.col("_m") > 0, F.col("score") / F.col("_m")).otherwise(0.0).alias(out))
 
 
 def hybrid(lexical: DataFrame, semantic: DataFrame, weight: float = 0.5) -> DataFrame:
@@ -74,23 +81,58 @@ def hybrid(lexical: DataFrame, semantic: DataFrame, weight: float = 0.5) -> Data
     return both.select("query_id", "doc_id", ((1 - weight) * F.coalesce("lex", F.lit(0.0)) + weight * F.coalesce("sem", F.lit(0.0))).alias("score"))
 
 
-def vector_top(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """query_id, doc_id, score, rank by exact cosine, from (doc_id, vec) and a bounded table of queries (query_id, vec).
+def vector_top(vectors: DataFrame, queries: DataFrame, k: int, at_once: int = QUERIES) -> DataFrame:
+    """query_id, doc_id, score, rank by exact cosine, from (doc_id, vec) and a stated set of queries (query_id, vec); scores that agree to 6 places tie.
 
-    The queries are a stated set that is broadcast; the vectors stay where they are and each partition keeps k per query before the shuffle (window group limit).
+    Queries are counted and broadcast in blocks of about ``at_once``; the vectors stay where they are, meet a block as one matrix
+    product a batch, and each partition keeps k rows for a query before the only shuffle. 0 where either vector is zero.
     """
-    v = vectors.select("doc_id", "vec", V.norm(F.col("vec")).alias("n"))
-    q = queries.select("query_id", F.col("vec").alias("qvec"), V.norm(F.col("vec")).alias("qn"))
-    scored = v.crossJoin(F.broadcast(q)).select("query_id", "doc_id", V.cosine(F.col("vec"), F.col("qvec"), F.col("n"), F.col("qn")).alias("score"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    spark = vectors.sparkSession
+    ship(spark)
+    kinds = {**{f.name: f.dataType.simpleString() for f in queries.schema}, **{f.name: f.dataType.simpleString() for f in vectors.schema}}
+    n = queries.count()
+    blocks = max(1, -(-n // at_once))
+    out = None
+    for i in range(blocks):
+        mine = queries.select("query_id", F.col("vec").cast("array<double>").alias("vec"))
+        mine = (mine if blocks == 1 else mine.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)).toPandas()
+        asked = spark.sparkContext.broadcast((mine["query_id"].tolist(), V.unit_rows(mine["vec"])))
+        part = vectors.select("doc_id", F.col("vec").cast("array<double>").alias("vec")).mapInPandas(_scan(asked, k), f"query_id {kinds['query_id']}, doc_id {kinds['doc_id']}, score double")
+        out = part if out is None else out.union(part)
+    return ranked(out, k, "score")
+
+
+def _scan(asked, k: int):
+    def run(batches):
+        names, q = asked.value
+        best: list[tuple] = [(np.zeros(0), []) for _ in names]  # scores and documents of each query
+        for d in batches:
+            if not len(d) or not len(names):
+                continue
+            scores = V.unit_rows(d["vec"]) @ q.T
+            ids = d["doc_id"].to_numpy()
+            for j in range(len(names)):
+                s = scores[:, j]
+                if len(s) > 4 * k:
+                    at = np.flatnonzero(s >= np.partition(s, len(s) - k)[len(s) - k] - 1e-6)
+                    s, own = s[at], ids[at]
+                else:
+                    own = ids
+                s, own = np.concatenate((best[j][0], s)), np.concatenate((best[j][1], own)) if len(best[j][1]) else own
+                order = np.lexsort((own, -np.round(s, 6)))[:k]
+                best[j] = (s[order], own[order])
+        for j, name in enumerate(names):
+            if len(best[j][0]):
+                yield pd.DataFrame({"query_id": [name] * len(best[j][0]), "doc_id": best[j][1], "score": best[j][0]})
+
+    return run
 
 
 def rerank_cosine(rows: DataFrame, weight: float = 0.3) -> DataFrame:
     """Rows (query_id, doc_id, score, cos) by (1 - weight) score / max + weight max(0, cos)."""
-    most = rows.groupBy("query_id").agg(F.max("score").alias("_m"))
+    rows = rows.withColumn("_m", F.max("score").over(Window.partitionBy("query_id")))
     made = (1 - weight) * F.when(F.col("_m") > 0, F.col("score") / F.col("_m")).otherwise(0.0) + weight * F.greatest(F.lit(0.0), F.col("cos"))
-    return rows.join(most, "query_id").withColumn("reranked", made).drop("_m")
+    return rows.withColumn("reranked", made).drop("_m")
 
 
 def rerank_overlap(rows: DataFrame, query: str = "query", body: str = "snippet", title: str = "title") -> DataFrame:

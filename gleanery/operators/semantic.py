@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanery.functions import text as T
+from gleanery.session import cut
 
-WINDOW, PMI, NEIGHBOURS, PER_DOC, RELATED = 5, 1.0, 5, 10, 8
+WINDOW, PMI, NEIGHBOURS, PER_DOC, RELATED, SALT = 5, 1.0, 5, 10, 8, 16
 
 
 def autocomplete(vocabulary: DataFrame, prefixes: DataFrame, k: int = 8) -> DataFrame:
@@ -27,11 +28,15 @@ def autocomplete(vocabulary: DataFrame, prefixes: DataFrame, k: int = 8) -> Data
 def spell(vocabulary: DataFrame, words: DataFrame, radius: int = 2, k: int = 5) -> DataFrame:
     """word, suggestion, distance, freq, rank: vocabulary entries within an edit distance; nearest, most frequent, first by name.
 
-    ``words`` is the set of a query's unknown words: a few rows, checked by Spark before it broadcasts them.
-    Lengths that differ by more than the radius are never compared.
+    Lengths that differ by more than the radius are never compared: each word is given every length that it may meet, so
+    the two sides join by equality, spread over SALT parts of the vocabulary where Spark doesn't broadcast the words.
     """
+    salt = F.pmod(F.xxhash64("suggestion"), F.lit(SALT))
     w = words.select("word").distinct()
-    pairs = vocabulary.select(F.col("word").alias("suggestion"), "freq").join(w, F.abs(F.length("suggestion") - F.length("word")) <= radius)
+    w = w.select("word", F.explode(F.sequence(F.greatest(F.length("word") - radius, F.lit(0)), F.length("word") + radius)).alias("_n"))
+    w = w.select("word", "_n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALT - 1).cast("bigint"))).alias("_s"))
+    rows = vocabulary.select(F.col("word").alias("suggestion"), "freq").select("suggestion", "freq", F.length("suggestion").alias("_n"), salt.alias("_s"))
+    pairs = rows.join(w, ["_n", "_s"])
     near = pairs.withColumn("distance", F.levenshtein("suggestion", "word", radius).cast("bigint")).where("distance >= 0")
     order = Window.partitionBy("word").orderBy("distance", F.desc("freq"), "suggestion")
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("word", "suggestion", "distance", "freq", "rank")
@@ -45,10 +50,15 @@ def pmi(docs: DataFrame, window: int = WINDOW, threshold: float = PMI, neighbour
     """
     folded = F.filter(F.transform(T.tokens(F.col("text")), T.fold), lambda w: (F.length(w) > 1) & ~T.is_stop_word(w))
     rows = docs.select(folded.alias("ws")).where(F.size("ws") >= window)
-    windows = rows.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("ws") - window + 1), lambda i: F.array_distinct(F.slice("ws", i, window)))).alias("w"))
-    n = windows.agg(F.count("*").cast("double").alias("n"))
-    single = windows.select(F.explode("w").alias("t")).groupBy("t").agg(F.count("*").alias("c"))
-    pairs = windows.select(F.explode("w").alias("a"), "w").select("a", F.explode("w").alias("b")).where("a < b").groupBy("a", "b").agg(F.count("*").alias("c_ab"))
+    windows = F.transform(F.sequence(F.lit(1), F.size("ws") - window + 1), lambda i: F.array_sort(F.array_distinct(F.slice("ws", i, window))))
+    # In a window each term with itself and with those after it; (null, null) stands for a text's windows. One pass counts all three.
+    paired = F.flatten(F.transform(F.col("w"), lambda a, i: F.transform(F.slice("w", i + 1, F.size("w")), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    text = rows.select(F.size("ws") - window + 1, F.lit(None).cast("string"), F.lit(None).cast("string")).toDF("c", "a", "b")
+    counted = rows.select(F.explode(windows).alias("w")).select(F.explode(paired).alias("x")).select(F.lit(1).alias("c"), "x.a", "x.b").union(text)
+    counted = cut(counted.groupBy("a", "b").agg(F.sum("c").alias("c")))
+    n = counted.where("a is null").select(F.col("c").cast("double").alias("n"))
+    single = counted.where("a = b").select(F.col("a").alias("t"), "c")
+    pairs = counted.where("a < b").select("a", "b", F.col("c").alias("c_ab"))
     scored = pairs.join(single.select(F.col("t").alias("a"), F.col("c").alias("c_a")), "a").join(single.select(F.col("t").alias("b"), F.col("c").alias("c_b")), "b").crossJoin(F.broadcast(n))  # one row
     scored = scored.withColumn("pmi", F.log(F.col("c_ab") * F.col("n") / (F.col("c_a") * F.col("c_b")))).where(F.round("pmi", 9) >= threshold)
     both = scored.select(F.explode(F.array(F.struct(F.col("a").alias("term"), F.col("b").alias("neighbour")), F.struct(F.col("b").alias("term"), F.col("a").alias("neighbour")))).alias("x"), "pmi").select("x.*", "pmi")

@@ -188,21 +188,27 @@ def bm25_topk(spark, sf_dir):
     return search.bm25_batch(documents(spark, sf_dir), asked(spark, sf_dir))
 
 
-def _scores(spark, sf_dir) -> DataFrame:
+def _lexical(spark, sf_dir) -> tuple[I.Index, DataFrame]:
+    """An index of the asked terms, and query_id, doc_id, bm25."""
     terms = retrieve.query_terms(asked(spark, sf_dir))
-    return rank.bm25(I.restricted(documents(spark, sf_dir), terms), terms)
+    index = I.restricted(documents(spark, sf_dir), terms)
+    return index, rank.bm25(index, terms)
+
 
+def _scores(spark, sf_dir) -> DataFrame:
+    return _lexical(spark, sf_dir)[1]
 
-def _length_rank(spark, sf_dir) -> DataFrame:
+
+def _length_rank(stats: DataFrame) -> DataFrame:
     """A link signal for documents that have no links: their share of all tokens."""
-    s = I.doc_stats(documents(spark, sf_dir))
-    total = s.agg(F.sum("doc_len").alias("total"))
-    return s.crossJoin(F.broadcast(total)).select(F.col("doc_id").alias("node"), (F.col("doc_len") / F.col("total")).alias("pagerank"))
+    total = stats.agg(F.sum("doc_len").alias("total"))
+    return stats.crossJoin(F.broadcast(total)).select(F.col("doc_id").alias("node"), (F.col("doc_len") / F.col("total")).alias("pagerank"))
 
 
 @query
 def bm25_normalized_fusion(spark, sf_dir):
-    fused = rank.fuse(_scores(spark, sf_dir), _length_rank(spark, sf_dir))
+    index, scored = _lexical(spark, sf_dir)
+    fused = rank.fuse(scored, _length_rank(index.stats))
     return rank.ranked(fused, 10, "final").select("query_id", "rank", "doc_id", F.round("final", 6).alias("final"))
 
 
@@ -218,11 +224,7 @@ def score_normalize(spark, sf_dir):
 
 
 def _semantic(spark, sf_dir, k: int) -> DataFrame:
-    d, q = documents(spark, sf_dir), asked(spark, sf_dir)
-    sparse = V.hash_embedding(q, key="query_id").withColumnRenamed("weight", "qw")
-    # Both sides have length 1, so the cosine is a sum over shared buckets.
-    scored = V.hash_embedding(d).join(sparse, "bucket").groupBy("query_id", "doc_id").agg(F.sum(F.col("weight") * F.col("qw")).alias("score"))
-    return rank.ranked(scored, k, "score")
+    return rank.vector_top(V.dense(V.hash_embedding(documents(spark, sf_dir))), search.embed_queries(asked(spark, sf_dir)), k)
 
 
 @query
@@ -243,14 +245,18 @@ def hybrid_merge(spark, sf_dir):
 
 @query
 def rerank_cosine(spark, sf_dir):
-    near = _semantic(spark, sf_dir, 1_000_000_000).select("query_id", "doc_id", F.col("score").alias("cos"))
-    rows = rank.ranked(_scores(spark, sf_dir), 20, "bm25").select("query_id", "doc_id", F.col("bm25").alias("score")).join(near, ["query_id", "doc_id"], "left").fillna(0.0, ["cos"])
+    rows = cut(rank.ranked(_scores(spark, sf_dir), 20, "bm25").select("query_id", "doc_id", F.col("bm25").alias("score")))
+    # Only candidates are embedded. Both sides have length 1, so the cosine is a sum over shared buckets.
+    d = documents(spark, sf_dir).join(rows.select("doc_id").distinct(), "doc_id", "left_semi")
+    sparse = V.hash_embedding(asked(spark, sf_dir), key="query_id").withColumnRenamed("weight", "qw")
+    near = rows.select("query_id", "doc_id").join(V.hash_embedding(d), "doc_id").join(sparse, ["query_id", "bucket"]).groupBy("query_id", "doc_id").agg(F.sum(F.col("weight") * F.col("qw")).alias("cos"))
+    rows = rows.join(near, ["query_id", "doc_id"], "left").fillna(0.0, ["cos"])
     return rank.ranked(rank.rerank_cosine(rows), 20, "reranked").select("query_id", "rank", "doc_id", F.round("reranked", 6).alias("reranked"))
 
 
 @query
 def rerank_overlap(spark, sf_dir):
-    rows = rank.ranked(_scores(spark, sf_dir), 20, "bm25").select("query_id", "doc_id").join(documents(spark, sf_dir), "doc_id").join(F.broadcast(asked(spark, sf_dir).withColumnRenamed("text", "query")), "query_id")
+    rows = rank.ranked(_scores(spark, sf_dir), 20, "bm25").select("query_id", "doc_id").join(documents(spark, sf_dir), "doc_id").join(asked(spark, sf_dir).withColumnRenamed("text", "query"), "query_id")
     rows = rank.rerank_overlap(rows.withColumn("title", F.lit("")), body="text")
     return rows.select("query_id", "doc_id", F.round("overlap", 6).alias("overlap"))
 
@@ -411,12 +417,12 @@ def preference_pairs(spark, sf_dir):
 
 
 def _features(spark, sf_dir) -> DataFrame:
-    top = rank.ranked(_scores(spark, sf_dir), 10, "bm25").select("query_id", "doc_id", "rank")
-    d = documents(spark, sf_dir)
-    rows = top.join(d, "doc_id").join(F.broadcast(asked(spark, sf_dir).withColumnRenamed("text", "query")), "query_id")
-    rows = rows.join(I.doc_stats(d).select("doc_id", "doc_len"), "doc_id").join(_length_rank(spark, sf_dir).select(F.col("node").alias("doc_id"), "pagerank"), "doc_id")
+    index, scored = _lexical(spark, sf_dir)
+    top = rank.ranked(scored, 10, "bm25").select("query_id", "doc_id", "rank")
+    rows = top.join(documents(spark, sf_dir), "doc_id").join(asked(spark, sf_dir).withColumnRenamed("text", "query"), "query_id")
+    rows = rows.join(index.stats.select("doc_id", "doc_len"), "doc_id").join(_length_rank(index.stats).select(F.col("node").alias("doc_id"), "pagerank"), "doc_id")
     rows = rows.withColumn("title", F.substring_index("text", "\n", 1)).withColumn("cos", F.lit(0.0))
-    edge = I.doc_stats(d).agg(F.max("doc_len").alias("max_len"), (F.max("doc_len") / F.sum("doc_len")).alias("max_pr"))
+    edge = index.stats.agg(F.max("doc_len").alias("max_len"), (F.max("doc_len") / F.sum("doc_len")).alias("max_pr"))
     raw = learn.raw_features(rows.crossJoin(F.broadcast(edge)))  # one row
     return learn.normalized_features(raw, F.col("max_pr"), F.col("max_len"), F.col("rank") - 1)
 
