@@ -118,3 +118,19 @@ def resolve_url(base: Column, link: Column) -> Column:
         .when(link.startswith("?"), F.concat(F.regexp_replace(bare, r"\?.*$", ""), link))
         .otherwise(F.concat(folder, link))
     )
+
+
+def _bytes(text: Column) -> Column:
+    """The UTF-8 bytes of a text as numbers."""
+    h = F.hex(F.encode(text, "UTF-8"))
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(h), F.lit(1)), F.lit(2)), lambda i: F.conv(F.substr(h, i, F.lit(2)), 16, 10).cast("bigint"))
+
+
+def fnv1a(text: Column) -> Column:
+    """FNV-1a over the UTF-8 bytes, 32 bits; of the empty text its offset basis."""
+    return F.when(text == "", F.lit(2166136261)).otherwise(F.aggregate(_bytes(text), F.lit(2166136261).cast("bigint"), lambda h, b: (h.bitwiseXOR(b) * 16777619).bitwiseAND(F.lit(4294967295))))
+
+
+def djb2(text: Column) -> Column:
+    """djb2 over the UTF-8 bytes, 32 bits."""
+    return F.when(text == "", F.lit(5381)).otherwise(F.aggregate(_bytes(text), F.lit(5381).cast("bigint"), lambda h, b: (h * 33 + b).bitwiseAND(F.lit(4294967295))))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleanery.functions import text as T
@@ -133,3 +133,15 @@ def bloom_maybe(values: DataFrame, column: str, bloom: DataFrame, m: int, k: int
     byte = F.conv(F.hex(F.substring(F.col("bits"), F.lit(1) + F.floor(F.col("at") / 8).cast("int"), F.lit(1))), 16, 10).cast("int")
     rows = one.join(bloom, "bucket", "left").withColumn("set", F.coalesce(F.getbit(byte, (F.col("at") % 8).cast("int")) == 1, F.lit(False)))
     return rows.groupBy(column).agg(F.bool_and("set").alias("maybe"))
+
+
+def snapshot(tasks: DataFrame, known: DataFrame, path: str) -> None:
+    """Keep a frontier: its tasks (url, domain, priority, state, ..) and the URLs that it knows."""
+    tasks.write.mode("overwrite").parquet(f"{path}/tasks")
+    known.write.mode("overwrite").parquet(f"{path}/known")
+
+
+def restore(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Tasks and known URLs of a snapshot; what was under way then is queued again."""
+    tasks = spark.read.parquet(f"{path}/tasks")
+    return tasks.withColumn("state", F.when(F.col("state") == "IN_FLIGHT", "QUEUED").otherwise(F.col("state"))), spark.read.parquet(f"{path}/known")

@@ -99,6 +99,32 @@ def load(spark: SparkSession, path: str) -> Index:
     return Index(*(spark.read.parquet(f"{path}/{t}") for t in ("postings", "stats", "dictionary", "corpus")))
 
 
+def publish(index: Index, root: str, buckets: int = 64) -> int:
+    """Save an index as the next version under a folder and make it the current one; readers of older versions keep theirs.
+
+    The pointer is a row appended once all tables are written, so a reader never sees half an index.
+    """
+    spark = index.postings.sparkSession
+    version = (current_version(spark, root) or 0) + 1
+    index.save(f"{root}/v{version}", buckets)
+    spark.range(1).select(F.lit(version).alias("version")).coalesce(1).write.mode("append").parquet(f"{root}/current")
+    return version
+
+
+def current_version(spark: SparkSession, root: str) -> int | None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/current")
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        return None
+    return spark.read.parquet(f"{root}/current").agg(F.max("version")).first()[0]
+
+
+def load_current(spark: SparkSession, root: str) -> Index:
+    version = current_version(spark, root)
+    if version is None:
+        raise FileNotFoundError(f"no index is published under {root}")
+    return load(spark, f"{root}/v{version}")
+
+
 def lookup(posts: DataFrame, terms: list[str]) -> DataFrame:
     """Posting lists of some terms; the filter reaches the scan."""
     return posts.where(F.col("term").isin(*terms))

@@ -85,3 +85,21 @@ def shard_top(rows: DataFrame, k: int, oversample: int = 3) -> DataFrame:
     once = local.withColumn("_f", F.row_number().over(first)).where("_f = 1")
     over = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return once.withColumn("rank", F.row_number().over(over)).where(F.col("rank") <= k).drop("_r", "_f")
+
+
+def total_hits(rows: DataFrame) -> DataFrame:
+    """query_id, total: matches over all shards, from rows (query_id, shard, ..): a count per shard, then their sum."""
+    return rows.groupBy("query_id", "shard").agg(F.count("*").alias("hits")).groupBy("query_id").agg(F.sum("hits").alias("total"))
+
+
+def served_features(log: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked (query, doc_id) with the features that the query's last impression served the document with, as for the first place.
+
+    log: query, ts and the documents' raw features (f_..) with max_pagerank and max_length; documents that weren't served have none.
+    """
+    key = lambda c: F.trim(F.lower(c))
+    rows = log.withColumn("_q", key(F.col("query")))
+    last = rows.groupBy("_q").agg(F.max("ts").alias("_t"))
+    served = rows.join(last, "_q").where(F.col("ts") == F.col("_t")).drop("query", "ts", "_t")
+    hit = asked.withColumn("_q", key(F.col("query"))).join(served, ["_q", "doc_id"]).drop("_q")
+    return normalized_features(hit, F.col("max_pagerank"), F.col("max_length"), F.lit(0))

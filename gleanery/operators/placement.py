@@ -79,3 +79,15 @@ def route(shards: DataFrame, nodes: DataFrame) -> DataFrame:
     """shard, node: the primary if it is online, else the first online replica; shards (shard, node, is_primary, replica_no), nodes (node, online)."""
     up = shards.join(nodes.where("online").select("node"), "node")
     return up.groupBy("shard").agg(F.min_by("node", F.struct(~F.col("is_primary"), F.col("replica_no"))).alias("node"))
+
+
+def migrations(keys: DataFrame, old: int, new: int, column: str = "key") -> DataFrame:
+    """Keys that move when a table of ``old`` shards becomes one of ``new``, with from_shard and to_shard. Narrow."""
+    rows = keys.withColumns({"from_shard": shard_of(F.col(column), old), "to_shard": shard_of(F.col(column), new)})
+    return rows.where("from_shard <> to_shard")
+
+
+def gather(results: DataFrame, answered: DataFrame) -> DataFrame:
+    """Results (.., shard) of the shards that answered in time (shard, in_time), with partial: whether any shard is missing."""
+    missing = answered.agg(F.bool_or(~F.col("in_time")).alias("partial"))
+    return results.join(answered.where("in_time").select("shard"), "shard", "left_semi").crossJoin(F.broadcast(missing))  # one row

@@ -66,6 +66,16 @@ def pmi(docs: DataFrame, window: int = WINDOW, threshold: float = PMI, neighbour
     return both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= neighbours)
 
 
+def expand_terms(queries: DataFrame, thesaurus: DataFrame, most: int = 4) -> DataFrame:
+    """query_id, word, expansion, place: every word of a query (query_id, text) at place 0 and its first ``most`` synonyms of a thesaurus (term, neighbour, rank).
+
+    The plan for a table of queries of what ``language.expand`` does to one tree; stop words aren't expanded.
+    """
+    words = queries.select("query_id", F.explode(F.array_distinct(F.transform(T.tokens(F.col("text")), T.fold))).alias("word")).where(~T.is_stop_word(F.col("word")))
+    near = thesaurus.where((F.col("rank") <= most) & (F.col("term") != F.col("neighbour"))).select(F.col("term").alias("word"), F.col("neighbour").alias("expansion"), F.col("rank").alias("place"))
+    return words.select("query_id", "word", F.col("word").alias("expansion"), F.lit(0).alias("place")).union(words.join(near, "word").select("query_id", "word", "expansion", "place"))
+
+
 def two_hop(synonyms: DataFrame) -> DataFrame:
     """term, other, hop: what an undirected synonym list (a, b) reaches in one or two steps, at its least distance."""
     s = synonyms.select("a", "b").union(synonyms.select("b", "a")).toDF("a", "b").where("a <> b").distinct()

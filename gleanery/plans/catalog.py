@@ -355,8 +355,8 @@ def html_parse(spark, sf_dir):
 
 @query
 def autocomplete(spark, sf_dir):
-    """Completions of the first letters of every nation."""
-    prefixes = read(spark, sf_dir, "nation").select(F.substring(F.lower("n_name"), 1, 2).alias("prefix"))
+    """Completions of the first letters of every query."""
+    prefixes = asked(spark, sf_dir).select(F.substring(F.lower("text"), 1, 2).alias("prefix"))
     found = semantic.autocomplete(I.surface_vocabulary(documents(spark, sf_dir)), prefixes)
     return found.select("prefix", "rank", "word", "freq", F.round("score", 6).alias("score"))
 

@@ -202,7 +202,7 @@ SQL: dict[str, str] = {
     "url_normalize": normal("(SELECT page_id, url FROM pages UNION ALL SELECT page_id, 'HTTPS://User.' || regexp_replace(url, '^https?://', '') || '//x//?utm_source=a&b=' || page_id % 7 || '&a=1&FBCLID=z#part' FROM pages)", "page_id"),
     "autocomplete": f"""WITH {TOKENS}, v AS (SELECT w AS word FROM tok WHERE w NOT IN ({STOP})
         UNION ALL SELECT a.w || ' ' || b.w FROM tok a JOIN tok b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 WHERE a.w NOT IN ({STOP}) AND b.w NOT IN ({STOP})),
-        f AS (SELECT word, count(*) AS freq FROM v GROUP BY word), p AS (SELECT DISTINCT substr(lower(n_name), 1, 2) AS prefix FROM nation),
+        f AS (SELECT word, count(*) AS freq FROM v GROUP BY word), p AS (SELECT DISTINCT substr(lower(text), 1, 2) AS prefix FROM benchmark),
         s AS (SELECT prefix, word, freq, ln(1 + freq) * length(prefix) / length(word) AS score FROM p JOIN f ON starts_with(word, prefix))
         SELECT prefix, CAST(row_number() OVER (PARTITION BY prefix ORDER BY round(score, 9) DESC, word) AS INTEGER) AS rank, word, freq, round(score, 6) AS score FROM s QUALIFY rank <= 8""",
     "spell_suggest": f"""WITH {TOKENS}, v AS (SELECT w AS suggestion, count(*) AS freq FROM tok GROUP BY w), n AS (SELECT DISTINCT lower(n_name) AS word FROM nation),

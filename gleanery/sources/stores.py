@@ -88,3 +88,20 @@ def synthetic_judged(spark: SparkSession, topics: int = 8, per_topic: int = 40,
     qrels = queries.select("query_id", (F.col("query_id") % topics).alias("topic")).join(rows, "topic").select("query_id", "doc_id", "grade")
     links = rows.select(F.col("doc_id").alias("dst"), "grade").withColumn("k", F.explode(F.sequence(F.lit(1), F.col("grade")))).select(F.floor(u("link", F.col("dst"), F.col("k")) * topics * per_topic).cast("bigint").alias("src"), "dst").where("src <> dst")
     return docs, queries, qrels, links
+
+
+#: id, title, text and the ids that a page links to.
+DEMO = (
+    (1, "Rivers", "A river carries rain from the hills to the sea. Mills once stood on every river.", (2, 3)),
+    (2, "Mills", "A mill grinds grain. Water turns the wheel of the mill and the wheel turns the stone.", (1, 4)),
+    (3, "Rain", "Rain falls on the hills and fills the river. Without rain the mill stands still.", (1,)),
+    (4, "Bread", "Bread is baked from flour, and flour comes from the mill.", (2,)),
+    (5, "Bakers", "A baker rises before the sun to bake bread for the village.", (4, 6)),
+    (6, "Villages", "The village grew beside the river, near the mill and its baker.", (1, 2, 5)),
+)
+
+
+def demo_corpus(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    """A few linked pages to try the engine on: documents (doc_id, url, title, text) and links (src, dst)."""
+    docs = spark.createDataFrame([(i, f"https://demo.test/{i}", t, x) for i, t, x, _ in DEMO], "doc_id long, url string, title string, text string")
+    return docs, spark.createDataFrame([(i, j) for i, _, _, out in DEMO for j in out], "src long, dst long")

@@ -10,7 +10,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from gleanery.plans import catalog, live, oracle
+from gleanery.plans import catalog, live, more, oracle
 
 SMALL = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -30,16 +30,16 @@ def cells(frame):
     return Counter(tuple(map(one, r)) for r in frame.itertuples(index=False, name=None))
 
 
-@pytest.mark.parametrize("name", sorted(oracle.SQL | live.SQL))
+@pytest.mark.parametrize("name", sorted(oracle.SQL | live.SQL | more.SQL))
 def test_query_is_its_sql(spark, db, name):
-    got = (catalog.QUERIES | live.QUERIES)[name](spark, SMALL).toPandas()
-    want = db.execute((oracle.SQL | live.SQL)[name]).df()
+    got = (catalog.QUERIES | live.QUERIES | more.QUERIES)[name](spark, SMALL).toPandas()
+    want = db.execute((oracle.SQL | live.SQL | more.SQL)[name]).df()
     assert sorted(got.columns) == sorted(want.columns) and cells(got) == cells(want)
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES | live.QUERIES) - set(oracle.SQL | live.SQL)))
+@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES | live.QUERIES | more.QUERIES) - set(oracle.SQL | live.SQL | more.SQL)))
 def test_other_queries_run(spark, name):
-    assert (catalog.QUERIES | live.QUERIES)[name](spark, SMALL).count() > 0
+    assert (catalog.QUERIES | live.QUERIES | more.QUERIES)[name](spark, SMALL).count() > 0
 
 
 def test_library_does_not_need_the_optional_subpackage():
