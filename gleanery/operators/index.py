@@ -3,6 +3,7 @@
 
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,6 +12,10 @@ from gleanery.functions import text as T
 from gleanery.session import cut, ship
 
 
+#: Stretches that a term's list is cut into where its order matters.
+RANGES = 1024
+
+
 def index_text(docs: DataFrame, normalize: bool = False) -> Column:
     """What is indexed of a document: its title, if the table has one, and its text."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -138,10 +143,35 @@ def merge_segments(segments: list[DataFrame]) -> DataFrame:
     return out
 
 
+def _ranged(posts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Postings with _r, the stretch of doc_ids (RANGES of equal width) that each lies in, and for every term and stretch what comes before it: _last (doc_id) and _past (documents).
+
+    A frequent term's list is so cut over many tasks; only its RANGES stretches are put in order as a whole.
+    """
+    edge = posts.agg(F.min("doc_id").alias("_low"), F.max("doc_id").alias("_high"))
+    at = F.when(F.col("_high") > F.col("_low"), F.floor((F.col("doc_id") - F.col("_low")) / (F.col("_high") - F.col("_low")) * RANGES)).otherwise(0)
+    rows = posts.crossJoin(F.broadcast(edge)).withColumn("_r", at.cast("int")).drop("_low", "_high")  # one row
+    w = Window.partitionBy("term").orderBy("_r")
+    heads = rows.groupBy("term", "_r").agg(F.max("doc_id").alias("_m"), F.count("*").alias("_n"))
+    return rows, heads.select("term", "_r", F.lag("_m").over(w).alias("_last"), (F.sum("_n").over(w) - F.col("_n")).alias("_past"))
+
+
+def _in_stretch():
+    return Window.partitionBy("term", "_r").orderBy("doc_id")
+
+
+def numbered(posts: DataFrame) -> DataFrame:
+    """Postings with seq, the place of each in its term's list, from 0."""
+    rows, heads = _ranged(posts)
+    rows = rows.withColumn("_i", F.row_number().over(_in_stretch()))
+    return rows.join(heads.drop("_last"), ["term", "_r"]).withColumn("seq", (F.col("_past") + F.col("_i") - 1).cast("bigint")).select(*posts.columns, "seq")
+
+
 def gaps(posts: DataFrame) -> DataFrame:
     """term, doc_id, gap: the distance to the list's previous document; the first is the id itself."""
-    w = Window.partitionBy("term").orderBy("doc_id")
-    return posts.select("term", "doc_id", (F.col("doc_id") - F.coalesce(F.lag("doc_id").over(w), F.lit(0))).cast("bigint").alias("gap"))
+    rows, heads = _ranged(posts.select("term", "doc_id"))
+    rows = rows.withColumn("_before", F.lag("doc_id").over(_in_stretch())).join(heads.drop("_past"), ["term", "_r"])
+    return rows.select("term", "doc_id", (F.col("doc_id") - F.coalesce("_before", "_last", F.lit(0))).cast("bigint").alias("gap"))
 
 
 def ungap(coded: DataFrame) -> DataFrame:
@@ -152,8 +182,7 @@ def ungap(coded: DataFrame) -> DataFrame:
 
 def block_max(posts: DataFrame, size: int = 128) -> DataFrame:
     """term, block, max_tf, last_doc for every run of ``size`` documents of a posting list."""
-    w = Window.partitionBy("term").orderBy("doc_id")
-    rows = posts.withColumn("block", F.floor((F.row_number().over(w) - 1) / size).cast("bigint"))
+    rows = numbered(posts).withColumn("block", F.floor(F.col("seq") / size).cast("bigint"))
     return rows.groupBy("term", "block").agg(F.max("tf").alias("max_tf"), F.max("doc_id").alias("last_doc"))
 
 
@@ -170,38 +199,35 @@ def surface_vocabulary(docs: DataFrame) -> DataFrame:
     return docs.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("freq"))
 
 
-def _vbyte(values: list[int]) -> bytes:
-    out = bytearray()
-    for v in values:
-        digits = [v & 127 | 128]
-        v >>= 7
-        while v:
-            digits.append(v & 127)
-            v >>= 7
-        out += bytes(reversed(digits))
-    return bytes(out)
+def _vbyte(values: np.ndarray) -> bytes:
+    """Groups of 7 bits, the highest first; the last byte of a number has its top bit set."""
+    v = np.asarray(values, dtype=np.uint64)
+    groups = np.stack([(v >> np.uint64(7 * i)) & np.uint64(127) for i in range(9, -1, -1)], axis=1).astype(np.uint8)
+    wanted = np.cumsum(groups != 0, axis=1) > 0
+    wanted[:, -1] = True
+    groups[:, -1] |= 128
+    return groups[wanted].tobytes()
 
 
 def _unvbyte(data: bytes) -> list[int]:
-    out, v = [], 0
-    for b in data:
-        v = v << 7 | b & 127
-        if b & 128:
-            out.append(v)
-            v = 0
-    return out
+    b = np.frombuffer(data, np.uint8)
+    ends = np.flatnonzero(b & 128)
+    if not len(ends):
+        return []
+    number = np.concatenate(([0], np.cumsum(b & 128 > 0)[:-1]))
+    shift = (7 * (ends[number] - np.arange(len(b)))).astype(np.uint64)
+    return np.add.reduceat((b & 127).astype(np.uint64) << shift, np.concatenate(([0], ends[:-1] + 1))).tolist()
 
 
 def vbyte(gapped: DataFrame, per_row: int = 4096) -> DataFrame:
     """term, chunk, coded: the gaps of a list as variable-byte numbers, in chunks so that no long list is one value."""
     ship(gapped.sparkSession)
-    w = Window.partitionBy("term").orderBy("doc_id")
-    rows = gapped.withColumn("seq", F.row_number().over(w) - 1).withColumn("chunk", F.floor(F.col("seq") / per_row).cast("bigint"))
+    rows = numbered(gapped).withColumn("chunk", F.floor(F.col("seq") / per_row).cast("bigint"))
     lists = rows.groupBy("term", "chunk").agg(F.sort_array(F.collect_list(F.struct("seq", "gap"))).alias("g")).select("term", "chunk", F.transform("g", lambda x: x["gap"]).alias("g"))
 
     @F.pandas_udf("binary")
     def code(s: pd.Series) -> pd.Series:
-        return s.map(lambda g: _vbyte([int(x) for x in g]))
+        return s.map(_vbyte)
 
     return lists.select("term", "chunk", code("g").alias("coded"))
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 from gleanery.operators import index as I
 from gleanery.operators import rank
 from gleanery.plans import catalog, oracle, search
+from gleanery.session import shared_folder
 from gleanery.sources import stores
 from gleanery.streaming import streams
 
@@ -25,9 +25,8 @@ def query(f: Query) -> Query:
 
 
 def folder(spark: SparkSession) -> str:
-    """A new folder in the session's shared one; of this machine only where none is set."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return f"{shared.rstrip('/')}/gleanery-{uuid.uuid4().hex}"
+    """A new folder in the session's shared one."""
+    return f"{shared_folder(spark)}/gleanery-{uuid.uuid4().hex}"
 
 
 def _stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -77,7 +76,7 @@ def crawl_store(spark, sf_dir):
     at = folder(spark)
     pages = catalog.read(spark, sf_dir, "pages")
     for title in ("old", "new"):
-        stores.append_crawled(pages.select(F.col("page_id").cast("string").alias("id"), "url", F.lit(title).alias("title"), F.col("html").alias("text")).coalesce(1), f"{at}/{'a' if title == 'old' else 'b'}")
+        stores.append_crawled(pages.select(F.col("page_id").cast("string").alias("id"), "url", F.lit(title).alias("title"), F.col("html").alias("text")).coalesce(8), f"{at}/{'a' if title == 'old' else 'b'}")
     both = [spark.read.schema(stores.schemas.CRAWLED).json(f"{at}/{x}").select("id", "url", "title", F.length("text").cast("bigint").alias("chars"), F.lit(i).alias("part")) for i, x in enumerate("ab")]
     rows = catalog.analytics.latest(both[0].union(both[1]), "url", "part")
     return rows.select("id", "url", "title", "chars")
