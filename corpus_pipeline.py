@@ -1,14 +1,19 @@
-"""The corpus pipeline: language, near-duplicates, personal data, mixture, packing; every stage from the Parquet of the one before."""
+"""The corpus pipeline: language, near-duplicates, personal data, mixture, packing; every stage from the Parquet of the one before.
+
+Cases, in every stage: a null text is the empty text, whose language is rejected, so nulls go in the first stage; a null doc_id, source or
+lang is kept; rows repeated are near-duplicates of each other and one stays; extra columns, whatever their names, are kept up to the
+last stage; an empty table gives an empty table.
+"""
 
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from gleanery.llm import langid, mixing, neardup, packing, pii
+from gleanery.session import drop_folder, shared_folder
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,11 +47,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; tables between stages go to the session's shared folder, or, where none is set, to one of this machine."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    at = f"{shared.rstrip('/')}/corpus-pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(os.path.join(sf_dir, "documents.parquet"))
+    """All stages over ``documents``; tables between stages go to the session's shared folder, and each goes once the next one is written."""
+    at = f"{shared_folder(spark)}/corpus-pipeline-{uuid.uuid4().hex}"
+    docs, before = spark.read.parquet(os.path.join(sf_dir, "documents.parquet")), None
     for i, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{at}/{i}-{name}")
-        docs = spark.read.parquet(f"{at}/{i}-{name}")
+        here = f"{at}/{i}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(here)
+        if before:
+            drop_folder(spark, before)
+        docs, before = spark.read.parquet(here), here
     return docs

@@ -8,7 +8,7 @@ within r; for an odd r one side would have to reach further, so the radius must
 Copies are folded into their fingerprint before anything else, so a group of copies is one row however
 large it is, and at most 1 + 64 distinct fingerprints can meet at a point when r is 2. Each point links
 its fingerprints to the smallest of them: a star has the components of all pairs without emitting them.
-Points where nothing meets vanish in the map-side combine or right after the shuffle.
+All 65 points of a fingerprint are shuffled, as two longs each; those where nothing meets vanish right after.
 
 Components: large-star and small-star steps until no edge changes, each cut with a checkpoint; only links
 (not documents) take part, and only a count comes to the driver.
