@@ -2,12 +2,17 @@
 
 import unicodedata
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 STOP_WORDS = tuple("a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split())
 TRACKING = ("utm_source", "utm_campaign", "utm_medium", "fbclid")
+#: What tokens are made of; A-Z and 0-9 are among the letters and digits, but named they are found by a table.
+_WORD = r"A-Za-z0-9\p{IsAlphabetic}\p{Nd}"
 #: Word boundaries are ASCII, whatever the Java version.
 ENTITY = r"(?<![A-Za-z0-9_])[A-Z][a-zA-Z0-9]*(?:[- ][A-Z][a-zA-Z0-9]*){0,3}(?![A-Za-z0-9_])"
 ENTITY_SKIP = tuple(
@@ -27,7 +32,20 @@ def nfkc(text: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Maximal runs of letters and digits, in order."""
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[\p{IsAlphabetic}\p{Nd}]+"), F.lit(0))
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(rf"[{_WORD}]+"), F.lit(0))
+
+
+def folded_line(text: Column) -> Column:
+    """The folded tokens with spaces between, as one string: what Python takes in a narrow pass. It may begin or end with a space."""
+    return fold(F.regexp_replace(F.coalesce(text, F.lit("")), rf"[^{_WORD}]+", " "))
+
+
+def coded_words(lines: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Of lines (``folded_line``) the words' line numbers, their codes, and the words by code; the empty word is among them."""
+    parts = pc.split_pattern(lines, " ")
+    coded = parts.flatten().dictionary_encode()
+    at = np.repeat(np.arange(len(lines)), np.diff(parts.offsets.to_numpy()))
+    return at, coded.indices.to_numpy().astype(np.int64), coded.dictionary
 
 
 def fold(token: Column) -> Column:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanery.functions import text as T
-from gleanery.session import cut
+from gleanery.session import cut, ship
 
 WINDOW, PMI, NEIGHBOURS, PER_DOC, RELATED, SALT = 5, 1.0, 5, 10, 8, 16
 
@@ -42,40 +45,110 @@ def spell(vocabulary: DataFrame, words: DataFrame, radius: int = 2, k: int = 5)
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("word", "suggestion", "distance", "freq", "rank")
 
 
-def pmi(docs: DataFrame, window: int = WINDOW, threshold: float = PMI, neighbours: int = NEIGHBOURS) -> DataFrame:
-    """term, neighbour, pmi, rank: terms that share windows of successive words more than by chance, the best few of each.
+def pmi(docs: DataFrame, window: int = WINDOW, threshold: float = PMI, neighbours: int = NEIGHBOURS, of: DataFrame | None = None) -> DataFrame:
+    """term, neighbour, pmi, rank: terms that share windows of successive words more than by chance, the best few of each. ``of`` (word): of these terms only, with the same rows.
 
-    A window's terms and pairs count once, so repeats inside it are dropped first. Pairs are made inside a
-    window of fixed size, hence linear in the text, and counted on the map side.
+    Windows are counted for pairs of places, not made (``_windows``), hence at most ``window`` rows a word, summed before the only shuffle of them.
+    Sums lie by their first term, so what that term counts alone is beside them; with ``of`` it is the asked term, and pairs without one are never sent.
     """
-    folded = F.filter(F.transform(T.tokens(F.col("text")), T.fold), lambda w: (F.length(w) > 1) & ~T.is_stop_word(w))
-    rows = docs.select(folded.alias("ws")).where(F.size("ws") >= window)
-    windows = F.transform(F.sequence(F.lit(1), F.size("ws") - window + 1), lambda i: F.array_sort(F.array_distinct(F.slice("ws", i, window))))
-    # In a window each term with itself and with those after it; (null, null) stands for a text's windows. One pass counts all three.
-    paired = F.flatten(F.transform(F.col("w"), lambda a, i: F.transform(F.slice("w", i + 1, F.size("w")), lambda b: F.struct(a.alias("a"), b.alias("b")))))
-    text = rows.select(F.size("ws") - window + 1, F.lit(None).cast("string"), F.lit(None).cast("string")).toDF("c", "a", "b")
-    counted = rows.select(F.explode(windows).alias("w")).select(F.explode(paired).alias("x")).select(F.lit(1).alias("c"), "x.a", "x.b").union(text)
-    counted = cut(counted.groupBy("a", "b").agg(F.sum("c").alias("c")))
+    asked = None if of is None else [r[0] for r in of.select("word").distinct().collect()]  # a stated set of queries
+    counted = _windows(docs, window, asked).repartition("a").groupBy("a", "b").agg(F.sum("c").alias("c"))
+    counted = cut(counted)
     n = counted.where("a is null").select(F.col("c").cast("double").alias("n"))
-    single = counted.where("a = b").select(F.col("a").alias("t"), "c")
-    pairs = counted.where("a < b").select("a", "b", F.col("c").alias("c_ab"))
-    scored = pairs.join(single.select(F.col("t").alias("a"), F.col("c").alias("c_a")), "a").join(single.select(F.col("t").alias("b"), F.col("c").alias("c_b")), "b").crossJoin(F.broadcast(n))  # one row
+    single = counted.where("a = b").select("a", "c")
+    pairs = counted.where("a <> b").select("a", "b", F.col("c").alias("c_ab"))
+    scored = pairs.join(single.withColumnRenamed("c", "c_a"), "a").join(single.toDF("b", "c_b"), "b").crossJoin(F.broadcast(n))  # one row
     scored = scored.withColumn("pmi", F.log(F.col("c_ab") * F.col("n") / (F.col("c_a") * F.col("c_b")))).where(F.round("pmi", 9) >= threshold)
-    both = scored.select(F.explode(F.array(F.struct(F.col("a").alias("term"), F.col("b").alias("neighbour")), F.struct(F.col("b").alias("term"), F.col("a").alias("neighbour")))).alias("x"), "pmi").select("x.*", "pmi")
+    if asked is None:
+        both = scored.select(F.explode(F.array(F.struct(F.col("a").alias("term"), F.col("b").alias("neighbour")), F.struct(F.col("b").alias("term"), F.col("a").alias("neighbour")))).alias("x"), "pmi").select("x.*", "pmi")
+    else:
+        both = scored.select(F.col("a").alias("term"), F.col("b").alias("neighbour"), "pmi")
     w = Window.partitionBy("term").orderBy(F.desc(F.round("pmi", 9)), "neighbour")
     return both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= neighbours)
 
 
+def _windows(docs: DataFrame, window: int, asked: list[str] | None) -> DataFrame:
+    """a, b, c: in how many windows of a text's successive words (longer than 1, no stop words) a and b stand, once for each Arrow batch; a = b for a term alone, (null, null) for all windows.
+
+    a < b without ``asked``; else a is an asked term, and a pair of two asked terms comes both ways.
+    A window belongs to the last place of a term in it. So places p <= q of two terms share the windows that end at q or later and before
+    either term comes again, and none is counted twice.
+    """
+    ship(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast((window, asked))
+    return docs.select(T.folded_line(F.col("text")).alias("line")).mapInArrow(_count_windows(shared), "c bigint, a string, b string")
+
+
+def _count_windows(shared):
+    def run(batches):
+        window, asked = shared.value
+        stop = pa.array(["", *T.STOP_WORDS])
+        for batch in batches:
+            doc, codes, names = T.coded_words(batch.column(0))
+            kept = ~pc.is_in(names, stop).to_numpy(zero_copy_only=False) & (pc.utf8_length(names).to_numpy(zero_copy_only=False) > 1)
+            by = pc.array_sort_indices(names).to_numpy()
+            place = np.empty(len(names), np.int64)
+            place[by] = np.arange(len(names))
+            names, some = names.take(pa.array(by)), kept[codes]
+            doc, codes = doc[some], place[codes[some]]
+            n = np.bincount(doc, minlength=batch.num_rows)
+            some = n[doc] >= window
+            doc, codes = doc[some], codes[some]
+            if not len(codes):
+                continue
+            first = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
+            edges = np.concatenate((first, [len(doc)]))
+            begins, ends = np.repeat(edges[:-1], np.diff(edges)), np.repeat(edges[1:], np.diff(edges))
+            at = np.arange(len(codes))
+            again = at + window  # where the term comes again, or out of reach
+            for d in range(window - 1, 0, -1):
+                same = np.flatnonzero((codes[d:] == codes[:-d]) & (doc[d:] == doc[:-d]))
+                again[same] = same + d
+            until = np.minimum(np.minimum(at + window, ends), again)  # a window that ends here or later lacks this place as the last of its term
+            since = np.maximum(at, begins + window - 1)
+            want = None if asked is None else pc.is_in(names, pa.array(asked, pa.string())).to_numpy(zero_copy_only=False)
+            keys, counts = [], []
+            for d in range(window):
+                p = at[: len(at) - d]
+                q = p + d
+                c = np.minimum(until[p], until[q]) - since[q]
+                good = (c > 0) & (doc[p] == doc[q])
+                if d:
+                    good &= codes[p] != codes[q]
+                p, q, c = codes[p[good]], codes[q[good]], c[good]
+                ways = [(p, q, c)] if not d else [(np.minimum(p, q), np.maximum(p, q), c)] if want is None else [(x[want[x]], y[want[x]], c[want[x]]) for x, y in ((p, q), (q, p))]
+                for x, y, z in ways:
+                    keys.append(x * len(names) + y)
+                    counts.append(z)
+            keys, counts = np.concatenate(keys), np.concatenate(counts)
+            order = np.argsort(keys, kind="stable")
+            keys, counts = keys[order], counts[order]
+            heads = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+            sums, keys = np.add.reduceat(counts, heads), keys[heads]
+            total = pa.RecordBatch.from_arrays([pa.array([int((n[n >= window] - window + 1).sum())], pa.int64()), pa.nulls(1, pa.string()), pa.nulls(1, pa.string())], ["c", "a", "b"])
+            yield total
+            for i in range(0, len(keys), 1 << 16):
+                k = keys[i : i + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(sums[i : i + (1 << 16)], pa.int64()), names.take(pa.array(k // len(names))), names.take(pa.array(k % len(names)))], ["c", "a", "b"])
+
+    return run
+
+
 def expand_terms(queries: DataFrame, thesaurus: DataFrame, most: int = 4) -> DataFrame:
     """query_id, word, expansion, place: every word of a query (query_id, text) at place 0 and its first ``most`` synonyms of a thesaurus (term, neighbour, rank).
 
     The plan for a table of queries of what ``language.expand`` does to one tree; stop words aren't expanded.
     """
-    words = queries.select("query_id", F.explode(F.array_distinct(F.transform(T.tokens(F.col("text")), T.fold))).alias("word")).where(~T.is_stop_word(F.col("word")))
+    words = query_words(queries)
     near = thesaurus.where((F.col("rank") <= most) & (F.col("term") != F.col("neighbour"))).select(F.col("term").alias("word"), F.col("neighbour").alias("expansion"), F.col("rank").alias("place"))
     return words.select("query_id", "word", F.col("word").alias("expansion"), F.lit(0).alias("place")).union(words.join(near, "word").select("query_id", "word", "expansion", "place"))
 
 
+def query_words(queries: DataFrame) -> DataFrame:
+    """query_id, word: the folded words of each query (query_id, text), once each, without stop words."""
+    return queries.select("query_id", F.explode(F.array_distinct(F.transform(T.tokens(F.col("text")), T.fold))).alias("word")).where(~T.is_stop_word(F.col("word")))
+
+
 def two_hop(synonyms: DataFrame) -> DataFrame:
     """term, other, hop: what an undirected synonym list (a, b) reaches in one or two steps, at its least distance."""
     s = synonyms.select("a", "b").union(synonyms.select("b", "a")).toDF("a", "b").where("a <> b").distinct()
