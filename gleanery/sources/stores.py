@@ -13,12 +13,12 @@ def append_crawled(docs: DataFrame, path: str) -> None:
     docs.write.mode("append").json(path)
 
 
-def read_crawled(spark: SparkSession, path: str) -> DataFrame:
-    """Crawled documents: the last record of each URL, in the order in which URLs came first; broken lines are skipped."""
+def read_crawled(spark: SparkSession, path: str, key: str = "url") -> DataFrame:
+    """Crawled documents: the last record of each URL, or of another key, in the order in which keys came first; broken lines and rows without a key are skipped."""
     rows = spark.read.schema(schemas.CRAWLED + ", _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").json(path)
     rows = rows.withColumn("_file", F.input_file_name()).withColumn("_line", F.monotonically_increasing_id())
-    rows = rows.where(F.col("_corrupt").isNull() & F.col("url").isNotNull())
-    by = Window.partitionBy("url")
+    rows = rows.where(F.col("_corrupt").isNull() & F.col(key).isNotNull())
+    by = Window.partitionBy(key)
     rows = rows.withColumn("_first", F.min("_line").over(by)).withColumn("_last", F.max("_line").over(by)).where("_line = _last")
     return rows.withColumnRenamed("_first", "seq").drop("_corrupt", "_file", "_line", "_last")
 

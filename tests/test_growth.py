@@ -9,6 +9,7 @@ from itertools import combinations
 
 from gleanery.functions import text as T
 from gleanery.operators import semantic
+from gleanery.plans import live, more
 
 
 def _plain_pmi(texts, window, threshold, most):
@@ -44,3 +45,14 @@ def test_pmi_counts_windows_by_places_and_sends_asked_pairs_only(spark):
     sent = [semantic._windows(docs, 5, asked).where("a <> b").count() for asked in (None, ["é1"])]
     places = sum(max(0, len(t.split())) for t in texts)
     assert sent[1] < sent[0] <= 4 * places
+
+
+def _pages(spark, folder):
+    rows = [(1, "https://h.test/a", "one"), (2, "https://h.test/a", "other"), (4, "https://h.test/a", ""), (3, None, "three"), (6, "https://h.test/b", None)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(f"{folder}/pages.parquet")
+    return [(str(i), u, None if h is None else len(h)) for i, u, h in rows]
+
+
+def test_crawl_log_keeps_pages_that_share_a_url(spark, tmp_path):
+    expected = _pages(spark, tmp_path)
+    assert sorted(tuple(r) for r in more.QUERIES["crawl_log"](spark, str(tmp_path)).collect()) == sorted(expected)
