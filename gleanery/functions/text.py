@@ -68,6 +68,26 @@ def stem(word: Column) -> Column:
     return F.when((F.length(word) <= 2) | ~some, word).otherwise(w)
 
 
+def stemmed(word: str) -> str:
+    """``stem`` of one word, for passes in Python."""
+    if len(word) <= 2 or not (word[-1] in "sdgr" or word[-1] == word[-2]):
+        return word
+    w = word
+    if w.endswith(("sses", "ies")):
+        w = w[:-2]
+    elif w.endswith("s") and not w.endswith("ss"):
+        w = w[:-1]
+    if w.endswith("eed"):
+        w = w[:-1]
+    elif w.endswith("ed"):
+        w = w[:-2]
+    elif w.endswith("ing"):
+        w = w[:-3]
+    if w.endswith("er"):
+        w = w[:-2]
+    return w[:-1] if len(w) > 2 and w[-1] == w[-2] and w[-1] not in "lsz" else w
+
+
 def analyse(token: Column) -> Column:
     """The index form of a token."""
     return stem(fold(token))

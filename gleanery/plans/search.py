@@ -113,7 +113,7 @@ class Engine:
 def bm25_batch(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """query_id, rank, doc_id, score: BM25 for a table of bag-of-words queries (query_id, text) over documents, without an index on disk."""
     terms = retrieve.query_terms(queries)
-    return R.ranked(R.bm25(I.restricted(docs, terms), terms), k, "bm25").select("query_id", "rank", "doc_id", F.round("bm25", 6).alias("score"))
+    return R.bm25_top(I.restricted(docs, terms), terms, k).select("query_id", "rank", "doc_id", F.round("bm25", 6).alias("score"))
 
 
 def embed_queries(queries: DataFrame, dim: int = 128) -> DataFrame:

@@ -7,8 +7,12 @@ import random
 from collections import Counter
 from itertools import combinations
 
+from pyspark.sql import functions as F
+
 from gleanery.functions import text as T
-from gleanery.operators import semantic
+from gleanery.functions import vector as V
+from gleanery.operators import index as I
+from gleanery.operators import rank, retrieve, semantic
 from gleanery.plans import live, more
 
 
@@ -61,3 +65,35 @@ def test_crawl_log_keeps_pages_that_share_a_url(spark, tmp_path):
 def test_crawl_store_keeps_pages_that_share_a_url(spark, tmp_path):
     expected = _pages(spark, tmp_path)
     assert sorted(tuple(r) for r in live.QUERIES["crawl_store"](spark, str(tmp_path)).collect()) == sorted((i, u, "new", n) for i, u, n in expected)
+
+
+def _some(spark):
+    r = random.Random(5)
+    words = ["running", "passes", "tied", "feed", "bigger", "the", "Straße", "x1", "dogs", "all", "boxed", "ings", "eed"]
+    return spark.createDataFrame([(i, " ".join(r.choice(words) for _ in range(r.randrange(0, 30)))) for i in range(150)] + [(200, None), (201, "...")], "doc_id long, text string").repartition(3)
+
+
+def test_stemmed_is_stem(spark):
+    words = sorted({a + b for a in ("", "a", "be", "pas", "ti", "hopp", "fall", "gre", "ing", "é") for b in ("", "s", "es", "ses", "sses", "ies", "ed", "eed", "ing", "ings", "er", "ers", "nn", "ll", "ered", "dd", "éé")} - {""})
+    rows = spark.createDataFrame([(w,) for w in words], "w string").select("w", T.stem(F.col("w")).alias("s")).collect()
+    assert [(r["w"], r["s"]) for r in rows] == [(r["w"], T.stemmed(r["w"])) for r in rows]
+
+
+def test_restricted_index_scores_without_a_shuffle(spark):
+    docs = _some(spark)
+    terms = retrieve.query_terms(spark.createDataFrame([(1, "running dogs"), (2, "pass tied feed dogs big"), (3, "nothing"), (4, "the")], "query_id int, text string"))
+    whole, part = I.build(docs, positions=False), I.restricted(docs, terms)
+    plain = {(r["query_id"], r["doc_id"]): round(r["bm25"], 9) for r in rank.bm25(whole, terms).collect()}
+    scored = rank.bm25(part, terms)
+    assert plain and {(r["query_id"], r["doc_id"]): round(r["bm25"], 9) for r in scored.collect()} == plain
+    assert "Exchange" not in scored._jdf.queryExecution().executedPlan().toString()
+    key = lambda d: sorted((r["query_id"], r["rank"], r["doc_id"]) for r in d.collect())
+    for k in (1, 4, 500):
+        assert key(rank.bm25_top(part, terms, k)) == key(rank.ranked(rank.bm25(whole, terms), k, "bm25"))
+    assert sorted(map(tuple, part.stats.collect())) == sorted(map(tuple, whole.stats.select("doc_id", "doc_len").collect()))
+
+
+def test_embedded_is_the_dense_hash_embedding(spark):
+    docs = _some(spark)
+    a, b = ({r[0]: list(r[1]) for r in d.collect()} for d in (V.embedded(docs), V.dense(V.hash_embedding(docs))))
+    assert a == b and a
