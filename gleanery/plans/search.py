@@ -90,7 +90,7 @@ class Engine:
         rows = R.page(R.ranked(rows, page * max(1, min(k, 100)), "final"), page, k)
         if self.docs is None:
             return rows.drop("query_id").orderBy("rank")
-        rows = rows.join(self.docs.select("doc_id", "url", "title", "text"), "doc_id")
+        rows = F.broadcast(rows).join(self.docs.select("doc_id", "url", "title", "text"), "doc_id")  # a page goes to the texts
         if model:
             rows = model(rows)
         if diverse:
@@ -110,6 +110,12 @@ class Engine:
         return found.orderBy("rank")
 
 
+def asked_index(docs: DataFrame, query: str, implicit: type = L.Or) -> I.Index:
+    """An index, with positions, of a stated query's words and phrases only, for an ``Engine`` that answers it over a corpus that isn't indexed: without prefixes, corrections or synonyms."""
+    terms = retrieve.analyse_words(docs.sparkSession, [w for t in L.lex(query) if t.kind in ("WORD", "PHRASE") for w in t.value.split()])
+    return I.restricted(docs, docs.sparkSession.createDataFrame([(t,) for t in terms], "term string"), positions=True)
+
+
 def bm25_batch(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """query_id, rank, doc_id, score: BM25 for a table of bag-of-words queries (query_id, text) over documents, without an index on disk."""
     terms = retrieve.query_terms(queries)

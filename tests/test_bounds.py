@@ -33,3 +33,16 @@ def test_best_cells_and_lists_whose_queries_are_split(spark, monkeypatch):
     centres = vectorindex.fit(v, 3)
     pick = lambda d: sorted((x["query_id"], x["rank"], x["doc_id"], round(x["score"], 9)) for x in d.collect())
     assert pick(vectorindex.search(vectorindex.build(v, centres), centres, q, 4, 3)) == pick(rank.vector_top(v, q, 4))
+
+
+def test_index_of_a_stated_query_is_the_whole_index_of_its_words(spark):
+    from gleanery.operators import index as I
+    from gleanery.plans import search
+
+    docs = spark.createDataFrame([(1, "The java, java compiler"), (2, ""), (None, "compilers of java"), (3, "stone and compiler java compiler")], "doc_id long, text string")
+    found = search.asked_index(docs, 'java AND "the compiler" AND NOT lamp')
+    assert found.names is not None
+    want = I.postings(docs).where("term IN ('java', 'compil')")
+    pick = lambda d: sorted(str((x["term"], x["doc_id"], x["tf"], x["positions"])) for x in d.collect())
+    assert pick(found.postings) == pick(want) and want.count() == 6
+    assert pick(found.postings.where("false")) == []
