@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -12,6 +14,12 @@ from gleanery.functions import text as T
 from gleanery.session import cut, ship
 
 WINDOW, PMI, NEIGHBOURS, PER_DOC, RELATED, SALT = 5, 1.0, 5, 10, 8, 16
+#: Words, and their bytes, that are numbered on the driver and broadcast; of more words pairs travel as names.
+NUMBERED, NUMBERED_BYTES = 1 << 24, 1 << 28
+#: Words whose pairs a worker sorts at once, and rows of pairs that a bucket is meant to get.
+STRETCH, BUCKET = 1 << 21, 1 << 24
+#: By how much a PMI must be smaller to be surely smaller when rounded to nine places.
+SLACK = 1e-8
 
 
 def autocomplete(vocabulary: DataFrame, prefixes: DataFrame, k: int = 8) -> DataFrame:
@@ -48,10 +56,21 @@ def spell(vocabulary: DataFrame, words: DataFrame, radius: int = 2, k: int = 5)
 def pmi(docs: DataFrame, window: int = WINDOW, threshold: float = PMI, neighbours: int = NEIGHBOURS, of: DataFrame | None = None) -> DataFrame:
     """term, neighbour, pmi, rank: terms that share windows of successive words more than by chance, the best few of each. ``of`` (word): of these terms only, with the same rows.
 
-    Windows are counted for pairs of places, not made (``_windows``), hence at most ``window`` rows a word, summed before the only shuffle of them.
-    Sums lie by their first term, so what that term counts alone is beside them; with ``of`` it is the asked term, and pairs without one are never sent.
+    Windows are counted for pairs of places, not made (``_spans``), hence at most ``window`` rows a word, summed before the only shuffle of them.
+    The words are counted first and numbered by name, so pairs travel as sorted, packed numbers (``_numbered``). With ``of`` only pairs with an asked
+    word are sent, by name and to the asked one.
     """
-    asked = None if of is None else [r[0] for r in of.select("word").distinct().collect()]  # a stated set of queries
+    if of is not None:
+        return _named(docs, window, threshold, neighbours, [r[0] for r in of.select("word").distinct().collect()])  # a stated set of queries
+    words = cut(_words(docs, window).groupBy("a").agg(F.sum("c").alias("c")))
+    size = words.agg(F.count("a").alias("words"), F.sum(F.octet_length("a")).alias("bytes"), F.sum(F.when(F.col("a").isNull(), F.col("c"))).alias("n")).first()
+    if size["words"] > NUMBERED or (size["bytes"] or 0) > NUMBERED_BYTES:
+        return _named(docs, window, threshold, neighbours, None)
+    return _numbered(docs, words, size["n"] or 0, window, threshold, neighbours)
+
+
+def _named(docs: DataFrame, window: int, threshold: float, neighbours: int, asked: list[str] | None) -> DataFrame:
+    """``pmi`` with pairs by name. Sums lie by their first term, so what that term counts alone is beside them; with ``asked`` it is the asked term."""
     counted = _windows(docs, window, asked).repartition("a").groupBy("a", "b").agg(F.sum("c").alias("c"))
     counted = cut(counted)
     n = counted.where("a is null").select(F.col("c").cast("double").alias("n"))
@@ -67,45 +86,302 @@ def pmi(docs: DataFrame, window: int = WINDOW, threshold: float = PMI, neighbour
     return both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= neighbours)
 
 
+def _numbered(docs: DataFrame, words: DataFrame, n: int, window: int, threshold: float, neighbours: int) -> DataFrame:
+    """``pmi`` with pairs as numbers; words (a, c) with the windows that hold each, n: all windows.
+
+    A pair lies with its rarer word, which bounds what the pairs of one word come to: a frequent word's distinct pairs are with the few that are more frequent.
+    There it is summed and scored, and goes on to both its words only if it can be among the best of each.
+    The buckets are as many as the windows need. Scores are rounded and ranked by Spark, from a list for each term that holds all that may tie.
+    """
+    ship(docs.sparkSession)
+    sc = docs.sparkSession.sparkContext
+    table = words.where("a is not null").orderBy("a").toArrow()
+    names, counts = table["a"].cast(pa.large_string()).combine_chunks(), table["c"].to_numpy()
+    buckets = max(sc.defaultParallelism, -(-n * (window - 1) // BUCKET))
+    known, ids, seed = _by_hash(names)
+    numbers, texts = sc.broadcast((known, ids, seed, counts.astype(np.min_scalar_type(counts.max(initial=0))))), sc.broadcast(names)
+    blobs = "bucket int, pairs binary"
+    lines = docs.select(T.folded_line(F.col("text")).alias("line"))
+    pairs = lines.mapInArrow(_pack_pairs(numbers, window, buckets), blobs).repartitionById(buckets, "bucket")
+    near = pairs.mapInArrow(_pack_near(numbers, n, threshold, neighbours, buckets), blobs).repartitionById(buckets, "bucket")
+    lists = near.mapInArrow(_list_near(numbers, texts, n, neighbours, buckets), "term string, near array<struct<neighbour:string,x:double>>")
+    ranked = F.array_sort(F.transform("near", lambda s: F.struct((-F.round(F.log(s["x"]), 9)).alias("order"), s["neighbour"].alias("neighbour"), F.log(s["x"]).alias("pmi"))))
+    ranked = F.slice(F.filter(ranked, lambda s: -s["order"] >= threshold), 1, neighbours)
+    return lists.select("term", F.posexplode(ranked).alias("rank", "x")).select("term", "x.neighbour", "x.pmi", (F.col("rank") + 1).alias("rank"))
+
+
+def _hashes(names: pa.Array, seed: int) -> np.ndarray:
+    """64 bits of each name, none of which is empty: the sum of its bytes, each times a random number of its place."""
+    names = names.cast(pa.large_string())
+    edges = np.frombuffer(names.buffers()[1], np.int64)[names.offset : names.offset + len(names) + 1]
+    data = np.frombuffer(names.buffers()[2], np.uint8)[edges[0] : edges[-1]].astype(np.uint64)
+    edges = edges - edges[0]
+    at = np.arange(len(data)) - np.repeat(edges[:-1], np.diff(edges))
+    factors = np.random.default_rng(seed).integers(0, 1 << 64, at.max() + 1, np.uint64)
+    return np.add.reduceat((data + np.uint64(1)) * factors[at], edges[:-1])
+
+
+def _by_hash(names: pa.Array, seed: int = 0) -> tuple[np.ndarray, np.ndarray, int]:
+    """The names' hashes in order, the number of the name of each, and the first seed with which no two names share a hash."""
+    step = 1 << 18
+    hashes = np.concatenate([np.empty(0, np.uint64), *(_hashes(names[i : i + step], seed) for i in range(0, len(names), step))])
+    ids = np.argsort(hashes)
+    hashes = hashes[ids]
+    return (hashes, ids.astype(np.int32), seed) if (hashes[1:] != hashes[:-1]).all() else _by_hash(names, seed + 1)
+
+
+def _pack(pairs: np.ndarray, counts: np.ndarray) -> bytes:
+    """Sorted pairs and their counts, compressed byte by byte of the gaps."""
+    head, planes = [len(pairs)], []
+    for x in (np.diff(pairs, prepend=0), counts.astype(np.int64)):
+        wide = max(1, (int(x.max()).bit_length() + 7) // 8)
+        head.append(wide)
+        planes.append(np.ascontiguousarray(x.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :wide].T).tobytes())
+    return np.array(head, "<i8").tobytes() + pa.compress(b"".join(planes), "zstd", asbytes=True)
+
+
+def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n, *wides = np.frombuffer(blob, "<i8", 3).tolist()
+    raw = np.frombuffer(pa.decompress(memoryview(blob)[24:], n * sum(wides), "zstd", asbytes=True), np.uint8)
+    columns, at = [], 0
+    for wide in wides:
+        x = np.zeros((n, 8), np.uint8)
+        x[:, :wide] = raw[at : at + n * wide].reshape(wide, n).T
+        columns.append(x.view("<i8").ravel())
+        at += n * wide
+    return np.cumsum(columns[0]), columns[1]
+
+
+def _summed(pairs: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pairs in order, and the sum of the counts of each. Counts are sorted within the pairs' numbers where they have room."""
+    room = 63 - int(pairs.max()).bit_length()
+    if int(counts.max()) >> room:
+        order = np.argsort(pairs)
+        pairs, counts = pairs[order], counts[order]
+    else:
+        both = np.sort(pairs << room | counts)
+        pairs, counts = both >> room, both & ((1 << room) - 1)
+    heads = np.flatnonzero(np.concatenate(([True], pairs[1:] != pairs[:-1])))
+    return pairs[heads], np.add.reduceat(counts, heads)
+
+
+class _Places:
+    """A pair as one number: the place of its first word, which is in order of buckets, before the number of the second."""
+
+    def __init__(self, words: int, buckets: int):
+        self.buckets, self.each, self.bits = buckets, max(1, -(-words // buckets)), max(1, (words - 1).bit_length())
+
+    def of(self, ids):
+        return ids % self.buckets * self.each + ids // self.buckets
+
+    def split(self, pairs):
+        place, second = pairs >> self.bits, pairs & ((1 << self.bits) - 1)
+        return place % self.each * self.buckets + place // self.each, second
+
+    def blobs(self, pairs, counts):
+        """Of sorted pairs a row for each bucket."""
+        edges = np.searchsorted(pairs, np.arange(self.buckets + 1) * self.each << self.bits)
+        some = np.flatnonzero(np.diff(edges))
+        packed = [_pack(pairs[edges[i] : edges[i + 1]], counts[edges[i] : edges[i + 1]]) for i in some]
+        return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(packed, pa.binary())], ["bucket", "pairs"])
+
+
+def _pack_pairs(numbers, window: int, buckets: int):
+    def run(batches):
+        known, ids, seed, counts = numbers.value
+        places, bits = _Places(len(ids), buckets), window.bit_length()
+        docs, words, held, seen = [], [], 0, 0
+
+        def flush():
+            doc, word = np.concatenate(docs), np.concatenate(words)
+            at, until, since = _spans(doc, word, window)
+            often, own = counts[word].astype(np.int64), places.of(word)
+            found = []
+            for d in range(1, window):
+                p, q = at[: len(at) - d], at[d:]
+                c = np.minimum(until[: len(at) - d], until[d:]) - since[d:]
+                p = np.flatnonzero((c > 0) & (doc[p] == doc[q]) & (word[p] != word[q]))
+                q, c = p + d, c[p]
+                first = (often[p] < often[q]) | ((often[p] == often[q]) & (word[p] < word[q]))
+                found.append(((np.where(first, own[p], own[q]) << places.bits | np.where(first, word[q], word[p])) << bits) | c)
+            found = np.concatenate(found) if found else np.empty(0, np.int64)
+            if len(found):
+                found.sort()
+                pairs = found >> bits
+                heads = np.flatnonzero(np.concatenate(([True], pairs[1:] != pairs[:-1])))
+                yield places.blobs(pairs[heads], np.add.reduceat(found & ((1 << bits) - 1), heads))
+
+        for batch in batches:
+            doc, codes, names, _ = _kept_words(batch, window)
+            if not len(codes):
+                continue
+            used = np.unique(codes)  # others may not be numbered
+            number = np.zeros(len(names), np.int64)
+            number[used] = ids[np.searchsorted(known, _hashes(names.take(pa.array(used)), seed))]
+            docs.append(doc + seen)
+            words.append(number[codes])
+            seen, held = seen + batch.num_rows, held + len(codes)
+            if held >= STRETCH:
+                yield from flush()
+                docs, words, held = [], [], 0
+        if held:
+            yield from flush()
+
+    return run
+
+
+def _merged(batches) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of a bucket, summed; more than BUCKET rows are summed as they come."""
+    pairs, counts, held, limit = [np.empty(0, np.int64)], [np.empty(0, np.int64)], 0, BUCKET
+    for batch in batches:
+        for blob in batch.column(1):
+            p, c = _unpack(blob.as_py())
+            pairs.append(p)
+            counts.append(c)
+            held += len(p)
+            if held > limit:
+                p, c = _summed(np.concatenate(pairs), np.concatenate(counts))
+                pairs, counts, held, limit = [p], [c], len(p), max(BUCKET, 2 * len(p))
+    p, c = np.concatenate(pairs), np.concatenate(counts)
+    return _summed(p, c) if len(p) else (p, c)
+
+
+def _scores(counts, a, b, c, n):
+    """What the PMI is the logarithm of, as Spark computes it."""
+    return c * float(n) / (counts[a].astype(np.int64) * counts[b].astype(np.int64))
+
+
+def _best(term: np.ndarray, other: np.ndarray, x: np.ndarray, most: int, words: int) -> np.ndarray:
+    """Which pairs can be among the best few of their term when scores are rounded and ties go by other: of equal scores the first few, of others those not surely too low.
+
+    Terms are under 2^24 and logarithms within 64 of 0, so that one number holds both and is sorted; pairs by all three keys only where more than the few are left.
+    """
+    low = ((64 - np.log(x)) * 2.0**32).astype(np.int64)
+    both = np.sort(term << 39 | low)
+    t = both >> 39
+    heads = np.flatnonzero(np.concatenate((np.ones(min(1, len(t)), bool), t[1:] != t[:-1])))
+    heads = heads[np.diff(np.append(heads, len(t))) > most]
+    worst = np.full(words, 1 << 39)
+    worst[t[heads]] = (both[heads + most - 1] & ((1 << 39) - 1)) + int(SLACK * 2**32)
+    some = np.flatnonzero(low <= worst[term])
+    del both, t, low, worst
+    many = (np.bincount(term[some], minlength=words) > most)[term[some]]
+    tied = some[many]
+    tied = tied[np.lexsort((other[tied], x[tied], term[tied]))]
+    t, v = term[tied], x[tied]
+    heads = np.flatnonzero(np.concatenate((np.ones(min(1, len(t)), bool), (t[1:] != t[:-1]) | (v[1:] != v[:-1]))))
+    return np.sort(np.concatenate((some[~many], tied[np.arange(len(t)) - np.repeat(heads, np.diff(np.append(heads, len(t)))) < most])))
+
+
+def _pack_near(numbers, n: int, threshold: float, most: int, buckets: int):
+    def run(batches):
+        counts = numbers.value[3]
+        places = _Places(len(counts), buckets)
+        pairs, c = _merged(batches)
+        a, b = places.split(pairs)
+        x = _scores(counts, a, b, c, n)
+        some = np.flatnonzero(x >= math.exp(threshold) * (1 - SLACK))
+        a, b, c, x = a[some], b[some], c[some], x[some]
+        keys, sums = [], []
+        for term, other in ((a, b), (b, a)):
+            some = _best(term, other, x, most, len(counts))
+            keys.append(places.of(term[some]) << places.bits | other[some])
+            sums.append(c[some])
+        if len(a):
+            yield places.blobs(*_summed(np.concatenate(keys), np.concatenate(sums)))
+
+    return run
+
+
+def _list_near(numbers, texts, n: int, most: int, buckets: int):
+    def run(batches):
+        counts, names = numbers.value[3], texts.value
+        pairs, c = _merged(batches)
+        term, other = _Places(len(counts), buckets).split(pairs)
+        x = _scores(counts, term, other, c, n)
+        some = _best(term, other, x, most, len(counts))
+        term, other, x = term[some], other[some], x[some]
+        heads = np.flatnonzero(np.concatenate((np.ones(min(1, len(term)), bool), term[1:] != term[:-1])))
+        edges = np.append(heads, len(term))
+        for i in range(0, len(heads), 1 << 14):
+            e = edges[i : i + (1 << 14) + 1]
+            own, part = term[e[:-1]], slice(e[0], e[-1])
+            near = pa.StructArray.from_arrays([names.take(pa.array(other[part])).cast(pa.string()), pa.array(x[part])], ["neighbour", "x"])
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(own)).cast(pa.string()), pa.ListArray.from_arrays(pa.array(e - e[0], pa.int32()), near)], ["term", "near"])
+
+    return run
+
+
 def _windows(docs: DataFrame, window: int, asked: list[str] | None) -> DataFrame:
     """a, b, c: in how many windows of a text's successive words (longer than 1, no stop words) a and b stand, once for each Arrow batch; a = b for a term alone, (null, null) for all windows.
 
     a < b without ``asked``; else a is an asked term, and a pair of two asked terms comes both ways.
-    A window belongs to the last place of a term in it. So places p <= q of two terms share the windows that end at q or later and before
-    either term comes again, and none is counted twice.
     """
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((window, asked))
     return docs.select(T.folded_line(F.col("text")).alias("line")).mapInArrow(_count_windows(shared), "c bigint, a string, b string")
 
 
+def _words(docs: DataFrame, window: int) -> DataFrame:
+    """a, c: in how many windows each term stands, and of a null how many there are, once for each Arrow batch."""
+    ship(docs.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            doc, codes, names, n = _kept_words(batch, window)
+            if not len(codes):
+                continue
+            _, until, since = _spans(doc, codes, window)
+            sums = np.bincount(codes, np.maximum(until - since, 0), len(names)).astype(np.int64)
+            some = np.flatnonzero(sums)
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.nulls(1, pa.string())], ["c", "a"])
+            for i in range(0, len(some), 1 << 16):
+                k = some[i : i + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(sums[k]), names.take(pa.array(k)).cast(pa.string())], ["c", "a"])
+
+    return docs.select(T.folded_line(F.col("text")).alias("line")).mapInArrow(run, "c bigint, a string")
+
+
+def _kept_words(batch: pa.RecordBatch, window: int) -> tuple[np.ndarray, np.ndarray, pa.Array, int]:
+    """Of a batch's texts that fill a window the words that count: their rows, codes and names by code; and the number of windows."""
+    doc, codes, names = T.coded_words(batch.column(0))
+    kept = ~pc.is_in(names, pa.array(["", *T.STOP_WORDS])).to_numpy(zero_copy_only=False) & (pc.utf8_length(names).to_numpy(zero_copy_only=False) > 1)
+    some = kept[codes]
+    doc, codes = doc[some], codes[some]
+    n = np.bincount(doc, minlength=batch.num_rows)
+    some = n[doc] >= window
+    return doc[some], codes[some], names, int((n[n >= window] - window + 1).sum())
+
+
+def _spans(doc: np.ndarray, codes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of every place of words in order: its number, and the windows that it counts for, by their last place: since, until.
+
+    A window belongs to the last place of a term in it. So places p <= q of two terms share the windows that end at q or later and before
+    either term comes again, and none is counted twice.
+    """
+    first = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
+    edges = np.concatenate((first, [len(doc)]))
+    begins, ends = np.repeat(edges[:-1], np.diff(edges)), np.repeat(edges[1:], np.diff(edges))
+    at = np.arange(len(codes))
+    again = at + window  # where the term comes again, or out of reach
+    for d in range(window - 1, 0, -1):
+        same = np.flatnonzero((codes[d:] == codes[:-d]) & (doc[d:] == doc[:-d]))
+        again[same] = same + d
+    return at, np.minimum(np.minimum(at + window, ends), again), np.maximum(at, begins + window - 1)  # a window that ends at until or later lacks this place as the last of its term
+
+
 def _count_windows(shared):
     def run(batches):
         window, asked = shared.value
-        stop = pa.array(["", *T.STOP_WORDS])
         for batch in batches:
-            doc, codes, names = T.coded_words(batch.column(0))
-            kept = ~pc.is_in(names, stop).to_numpy(zero_copy_only=False) & (pc.utf8_length(names).to_numpy(zero_copy_only=False) > 1)
+            doc, codes, names, n = _kept_words(batch, window)
+            if not len(codes):
+                continue
             by = pc.array_sort_indices(names).to_numpy()
             place = np.empty(len(names), np.int64)
             place[by] = np.arange(len(names))
-            names, some = names.take(pa.array(by)), kept[codes]
-            doc, codes = doc[some], place[codes[some]]
-            n = np.bincount(doc, minlength=batch.num_rows)
-            some = n[doc] >= window
-            doc, codes = doc[some], codes[some]
-            if not len(codes):
-                continue
-            first = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
-            edges = np.concatenate((first, [len(doc)]))
-            begins, ends = np.repeat(edges[:-1], np.diff(edges)), np.repeat(edges[1:], np.diff(edges))
-            at = np.arange(len(codes))
-            again = at + window  # where the term comes again, or out of reach
-            for d in range(window - 1, 0, -1):
-                same = np.flatnonzero((codes[d:] == codes[:-d]) & (doc[d:] == doc[:-d]))
-                again[same] = same + d
-            until = np.minimum(np.minimum(at + window, ends), again)  # a window that ends here or later lacks this place as the last of its term
-            since = np.maximum(at, begins + window - 1)
+            names, codes = names.take(pa.array(by)), place[codes]
+            at, until, since = _spans(doc, codes, window)
             want = None if asked is None else pc.is_in(names, pa.array(asked, pa.string())).to_numpy(zero_copy_only=False)
             keys, counts = [], []
             for d in range(window):
@@ -125,7 +401,7 @@ def _count_windows(shared):
             keys, counts = keys[order], counts[order]
             heads = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
             sums, keys = np.add.reduceat(counts, heads), keys[heads]
-            total = pa.RecordBatch.from_arrays([pa.array([int((n[n >= window] - window + 1).sum())], pa.int64()), pa.nulls(1, pa.string()), pa.nulls(1, pa.string())], ["c", "a", "b"])
+            total = pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.nulls(1, pa.string()), pa.nulls(1, pa.string())], ["c", "a", "b"])
             yield total
             for i in range(0, len(keys), 1 << 16):
                 k = keys[i : i + (1 << 16)]

@@ -7,6 +7,8 @@ import random
 from collections import Counter
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from gleanery.functions import text as T
@@ -51,6 +53,60 @@ def test_pmi_counts_windows_by_places_and_sends_asked_pairs_only(spark):
     assert sent[1] < sent[0] <= 4 * places
 
 
+def test_pmi_sends_packed_numbers_and_joins_nothing(spark, monkeypatch):
+    r = random.Random(8)
+    words = [f"w{int(40 * r.paretovariate(0.6))}" for _ in range(400)]
+    texts = [" ".join(r.choice(words) for _ in range(r.randrange(0, 60))) for _ in range(120)] + ["the x the", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    expected = _plain_pmi([t or "" for t in texts], 5, 1.0, 5)
+    rows = lambda d: {(x["term"], x["rank"], x["neighbour"]) for x in d.collect()}
+    found = semantic.pmi(docs)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    assert rows(found) == expected and len(expected) > 500
+    with monkeypatch.context() as m:  # many buckets
+        m.setattr(semantic, "BUCKET", 400)
+        assert rows(semantic.pmi(docs)) == expected
+    with monkeypatch.context() as m:  # more words than may be numbered
+        m.setattr(semantic, "NUMBERED", 10)
+        assert rows(semantic.pmi(docs)) == expected
+
+
+def test_pairs_are_packed_and_summed_without_loss():
+    r = np.random.default_rng(4)
+    for top, many in ((50, 9), (1 << 50, 9), (50, 1 << 40), (1 << 50, 1 << 40)):
+        pairs, counts = r.integers(0, top, 700), r.integers(1, many, 700)
+        got, sums = semantic._summed(pairs, counts)
+        plain = Counter()
+        for p, c in zip(pairs.tolist(), counts.tolist(), strict=True):
+            plain[p] += c
+        assert list(zip(got.tolist(), sums.tolist(), strict=True)) == sorted(plain.items())
+        again = semantic._unpack(semantic._pack(got, sums))
+        assert (again[0] == got).all() and (again[1] == sums).all()
+    for words, buckets in ((1, 8), (7, 3), (100, 7)):
+        places, ids = semantic._Places(words, buckets), np.arange(words)
+        first, second = places.split(places.of(ids) << places.bits | ids[::-1])
+        assert (first == ids).all() and (second == ids[::-1]).all()
+
+
+def test_best_pairs_keep_ties_by_name_and_what_rounding_may_tie():
+    r = np.random.default_rng(6)
+    term, other = r.integers(0, 30, 3000), np.arange(3000)
+    x = r.integers(1, 60, 3000) * np.where(r.random(3000) < 0.3, 1 + 2e-10, 1.0)
+    some = semantic._best(term, other, x, 4, 30)
+    order = lambda at: sorted(at, key=lambda i: (-round(math.log(x[i]), 9), other[i]))
+    for t in range(30):
+        assert order(np.flatnonzero(term == t))[:4] == order([i for i in some if term[i] == t])[:4]
+    assert len(some) < 1000
+
+
+def test_names_that_share_a_hash_get_another_seed(monkeypatch):
+    names, plain = pa.array(["ab", "ba", "é", "longer", "a" * 99, "ñ1"]), semantic._hashes
+    assert (semantic._hashes(names.slice(2, 3), 0) == semantic._hashes(names, 0)[2:5]).all()
+    monkeypatch.setattr(semantic, "_hashes", lambda n, seed: plain(n, seed) // np.uint64(1 << 63) if seed < 3 else plain(n, seed))
+    known, ids, seed = semantic._by_hash(names)
+    assert seed == 3 and (ids[np.searchsorted(known, plain(names, 3))] == np.arange(len(names))).all()
+
+
 def _pages(spark, folder):
     rows = [(1, "https://h.test/a", "one"), (2, "https://h.test/a", "other"), (4, "https://h.test/a", ""), (3, None, "three"), (6, "https://h.test/b", None)]
     spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(f"{folder}/pages.parquet")
