@@ -15,9 +15,9 @@ from gleanery.session import cut, ship
 
 WINDOW, PMI, NEIGHBOURS, PER_DOC, RELATED, SALT = 5, 1.0, 5, 10, 8, 16
 #: Words, and their bytes, that are numbered on the driver and broadcast; of more words pairs travel as names.
-NUMBERED, NUMBERED_BYTES = 1 << 24, 1 << 28
-#: Words whose pairs a worker sorts at once, and rows of pairs that a bucket is meant to get.
-STRETCH, BUCKET = 1 << 21, 1 << 24
+NUMBERED, NUMBERED_BYTES = 1 << 25, 1 << 28
+#: Words whose pairs a worker sorts at once (or those of one Arrow batch), and rows of pairs that a bucket gets on average at most.
+STRETCH, BUCKET = 1 << 20, 1 << 23
 #: By how much a PMI must be smaller to be surely smaller when rounded to nine places.
 SLACK = 1e-8
 
@@ -64,7 +64,7 @@ def pmi(docs: DataFrame, window: int = WINDOW, threshold: float = PMI, neighbour
         return _named(docs, window, threshold, neighbours, [r[0] for r in of.select("word").distinct().collect()])  # a stated set of queries
     words = cut(_words(docs, window).groupBy("a").agg(F.sum("c").alias("c")))
     size = words.agg(F.count("a").alias("words"), F.sum(F.octet_length("a")).alias("bytes"), F.sum(F.when(F.col("a").isNull(), F.col("c"))).alias("n")).first()
-    if size["words"] > NUMBERED or (size["bytes"] or 0) > NUMBERED_BYTES:
+    if size["words"] > NUMBERED or (size["bytes"] or 0) > NUMBERED_BYTES or window >> 11:  # two words and a count must fit 63 bits
         return _named(docs, window, threshold, neighbours, None)
     return _numbered(docs, words, size["n"] or 0, window, threshold, neighbours)
 
@@ -97,14 +97,16 @@ def _numbered(docs: DataFrame, words: DataFrame, n: int, window: int, threshold:
     sc = docs.sparkSession.sparkContext
     table = words.where("a is not null").orderBy("a").toArrow()
     names, counts = table["a"].cast(pa.large_string()).combine_chunks(), table["c"].to_numpy()
+    del table
     buckets = max(sc.defaultParallelism, -(-n * (window - 1) // BUCKET))
     known, ids, seed = _by_hash(names)
-    numbers, texts = sc.broadcast((known, ids, seed, counts.astype(np.min_scalar_type(counts.max(initial=0))))), sc.broadcast(names)
+    # Three, since a worker holds only what its task names.
+    numbers, often, texts = sc.broadcast((known, ids, seed)), sc.broadcast(counts.astype(np.min_scalar_type(counts.max(initial=0)))), sc.broadcast(names)
     blobs = "bucket int, pairs binary"
     lines = docs.select(T.folded_line(F.col("text")).alias("line"))
-    pairs = lines.mapInArrow(_pack_pairs(numbers, window, buckets), blobs).repartitionById(buckets, "bucket")
-    near = pairs.mapInArrow(_pack_near(numbers, n, threshold, neighbours, buckets), blobs).repartitionById(buckets, "bucket")
-    lists = near.mapInArrow(_list_near(numbers, texts, n, neighbours, buckets), "term string, near array<struct<neighbour:string,x:double>>")
+    pairs = lines.mapInArrow(_pack_pairs(numbers, often, window, buckets), blobs).repartitionById(buckets, "bucket")
+    near = pairs.mapInArrow(_pack_near(often, n, threshold, neighbours, buckets), blobs).repartitionById(buckets, "bucket")
+    lists = near.mapInArrow(_list_near(often, texts, n, neighbours, buckets), "term string, near array<struct<neighbour:string,x:double>>")
     ranked = F.array_sort(F.transform("near", lambda s: F.struct((-F.round(F.log(s["x"]), 9)).alias("order"), s["neighbour"].alias("neighbour"), F.log(s["x"]).alias("pmi"))))
     ranked = F.slice(F.filter(ranked, lambda s: -s["order"] >= threshold), 1, neighbours)
     return lists.select("term", F.posexplode(ranked).alias("rank", "x")).select("term", "x.neighbour", "x.pmi", (F.col("rank") + 1).alias("rank"))
@@ -159,12 +161,23 @@ def _summed(pairs: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
         order = np.argsort(pairs)
         pairs, counts = pairs[order], counts[order]
     else:
-        both = np.sort(pairs << room | counts)
-        pairs, counts = both >> room, both & ((1 << room) - 1)
-    heads = np.flatnonzero(np.concatenate(([True], pairs[1:] != pairs[:-1])))
+        both = pairs << room
+        both |= counts
+        both.sort()
+        counts = both & ((1 << room) - 1)
+        both >>= room
+        pairs = both
+    heads = _heads(pairs)
     return pairs[heads], np.add.reduceat(counts, heads)
 
 
+def _heads(*keys: np.ndarray) -> np.ndarray:
+    """Where a run of equal keys begins."""
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    return np.flatnonzero(new)
+
+
 class _Places:
     """A pair as one number: the place of its first word, which is in order of buckets, before the number of the second."""
 
@@ -186,33 +199,41 @@ class _Places:
         return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(packed, pa.binary())], ["bucket", "pairs"])
 
 
-def _pack_pairs(numbers, window: int, buckets: int):
+def _pack_pairs(numbers, often, window: int, buckets: int):
     def run(batches):
-        known, ids, seed, counts = numbers.value
+        known, ids, seed = numbers.value
+        counts = often.value
         places, bits = _Places(len(ids), buckets), window.bit_length()
         docs, words, held, seen = [], [], 0, 0
 
         def flush():
             doc, word = np.concatenate(docs), np.concatenate(words)
+            docs.clear()
+            words.clear()
             at, until, since = _spans(doc, word, window)
-            often, own = counts[word].astype(np.int64), places.of(word)
+            n, own = counts[word], places.of(word)
             found = []
             for d in range(1, window):
                 p, q = at[: len(at) - d], at[d:]
                 c = np.minimum(until[: len(at) - d], until[d:]) - since[d:]
                 p = np.flatnonzero((c > 0) & (doc[p] == doc[q]) & (word[p] != word[q]))
                 q, c = p + d, c[p]
-                first = (often[p] < often[q]) | ((often[p] == often[q]) & (word[p] < word[q]))
+                first = (n[p] < n[q]) | ((n[p] == n[q]) & (word[p] < word[q]))
                 found.append(((np.where(first, own[p], own[q]) << places.bits | np.where(first, word[q], word[p])) << bits) | c)
-            found = np.concatenate(found) if found else np.empty(0, np.int64)
-            if len(found):
-                found.sort()
-                pairs = found >> bits
-                heads = np.flatnonzero(np.concatenate(([True], pairs[1:] != pairs[:-1])))
-                yield places.blobs(pairs[heads], np.add.reduceat(found & ((1 << bits) - 1), heads))
+            del doc, word, at, until, since, n, own
+            if sum(map(len, found)):
+                pairs, found = np.concatenate(found), None
+                pairs.sort()
+                c = pairs & ((1 << bits) - 1)
+                pairs >>= bits
+                heads = _heads(pairs)
+                yield places.blobs(pairs[heads], np.add.reduceat(c, heads))
 
         for batch in batches:
             doc, codes, names, _ = _kept_words(batch, window)
+            if held and held + len(codes) > STRETCH:
+                yield from flush()
+                held = 0
             if not len(codes):
                 continue
             used = np.unique(codes)  # others may not be numbered
@@ -221,9 +242,7 @@ def _pack_pairs(numbers, window: int, buckets: int):
             docs.append(doc + seen)
             words.append(number[codes])
             seen, held = seen + batch.num_rows, held + len(codes)
-            if held >= STRETCH:
-                yield from flush()
-                docs, words, held = [], [], 0
+            del doc, codes, names
         if held:
             yield from flush()
 
@@ -233,6 +252,13 @@ def _pack_pairs(numbers, window: int, buckets: int):
 def _merged(batches) -> tuple[np.ndarray, np.ndarray]:
     """All pairs of a bucket, summed; more than BUCKET rows are summed as they come."""
     pairs, counts, held, limit = [np.empty(0, np.int64)], [np.empty(0, np.int64)], 0, BUCKET
+
+    def joined():
+        p, c = np.concatenate(pairs), np.concatenate(counts)
+        pairs.clear()
+        counts.clear()
+        return _summed(p, c) if len(p) else (p, c)
+
     for batch in batches:
         for blob in batch.column(1):
             p, c = _unpack(blob.as_py())
@@ -240,10 +266,11 @@ def _merged(batches) -> tuple[np.ndarray, np.ndarray]:
             counts.append(c)
             held += len(p)
             if held > limit:
-                p, c = _summed(np.concatenate(pairs), np.concatenate(counts))
-                pairs, counts, held, limit = [p], [c], len(p), max(BUCKET, 2 * len(p))
-    p, c = np.concatenate(pairs), np.concatenate(counts)
-    return _summed(p, c) if len(p) else (p, c)
+                p, c = joined()
+                pairs.append(p)
+                counts.append(c)
+                held, limit = len(p), max(BUCKET, 2 * len(p))
+    return joined()
 
 
 def _scores(counts, a, b, c, n):
@@ -254,28 +281,33 @@ def _scores(counts, a, b, c, n):
 def _best(term: np.ndarray, other: np.ndarray, x: np.ndarray, most: int, words: int) -> np.ndarray:
     """Which pairs can be among the best few of their term when scores are rounded and ties go by other: of equal scores the first few, of others those not surely too low.
 
-    Terms are under 2^24 and logarithms within 64 of 0, so that one number holds both and is sorted; pairs by all three keys only where more than the few are left.
+    Terms are at most 2^25 and logarithms within 64 of 0, so that one number holds both and is sorted; pairs by all three keys only where more than the few are left.
     """
-    low = ((64 - np.log(x)) * 2.0**32).astype(np.int64)
-    both = np.sort(term << 39 | low)
-    t = both >> 39
-    heads = np.flatnonzero(np.concatenate((np.ones(min(1, len(t)), bool), t[1:] != t[:-1])))
+    low = ((64 - np.log(x)) * 2.0**31).astype(np.int64)
+    both = np.sort(term << 38 | low)
+    low >>= 6  # of 32 bits
+    t = both >> 38
+    heads = _heads(t)
     heads = heads[np.diff(np.append(heads, len(t))) > most]
-    worst = np.full(words, 1 << 39)
-    worst[t[heads]] = (both[heads + most - 1] & ((1 << 39) - 1)) + int(SLACK * 2**32)
+    worst = np.full(words, (1 << 32) - 1, np.uint32)
+    worst[t[heads]] = ((both[heads + most - 1] & ((1 << 38) - 1)) + int(SLACK * 2**31)) >> 6
     some = np.flatnonzero(low <= worst[term])
     del both, t, low, worst
-    many = (np.bincount(term[some], minlength=words) > most)[term[some]]
+    t = np.sort(term[some])
+    heads = _heads(t)
+    many = np.zeros(words, bool)
+    many[t[heads[np.diff(np.append(heads, len(t))) > most]]] = True
+    many = many[term[some]]
     tied = some[many]
     tied = tied[np.lexsort((other[tied], x[tied], term[tied]))]
     t, v = term[tied], x[tied]
-    heads = np.flatnonzero(np.concatenate((np.ones(min(1, len(t)), bool), (t[1:] != t[:-1]) | (v[1:] != v[:-1]))))
+    heads = _heads(t, v)
     return np.sort(np.concatenate((some[~many], tied[np.arange(len(t)) - np.repeat(heads, np.diff(np.append(heads, len(t)))) < most])))
 
 
-def _pack_near(numbers, n: int, threshold: float, most: int, buckets: int):
+def _pack_near(often, n: int, threshold: float, most: int, buckets: int):
     def run(batches):
-        counts = numbers.value[3]
+        counts = often.value
         places = _Places(len(counts), buckets)
         pairs, c = _merged(batches)
         a, b = places.split(pairs)
@@ -293,15 +325,15 @@ def _pack_near(numbers, n: int, threshold: float, most: int, buckets: int):
     return run
 
 
-def _list_near(numbers, texts, n: int, most: int, buckets: int):
+def _list_near(often, texts, n: int, most: int, buckets: int):
     def run(batches):
-        counts, names = numbers.value[3], texts.value
+        counts, names = often.value, texts.value
         pairs, c = _merged(batches)
         term, other = _Places(len(counts), buckets).split(pairs)
         x = _scores(counts, term, other, c, n)
         some = _best(term, other, x, most, len(counts))
         term, other, x = term[some], other[some], x[some]
-        heads = np.flatnonzero(np.concatenate((np.ones(min(1, len(term)), bool), term[1:] != term[:-1])))
+        heads = _heads(term)
         edges = np.append(heads, len(term))
         for i in range(0, len(heads), 1 << 14):
             e = edges[i : i + (1 << 14) + 1]
